@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, sharding, simhash
+from . import licenses, mixing, packing, sharding, simhash, token_store
 
-MODULES = [mixing, sharding, licenses, simhash]
+MODULES = [mixing, token_store, sharding, packing, licenses, simhash]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
