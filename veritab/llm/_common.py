@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _local_dirs: dict[str, str] = {}
 
 
@@ -17,6 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset (tests on local[*]), a temporary folder takes its place; on any other
     master that would be a machine-local folder, so it is an error.
     """
+    importable(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -40,7 +43,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers of local masters import this package from where the driver has it; a
+    cluster's executors have it by installation, PYTHONPATH or --py-files."""
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if spark.sparkContext.master.startswith("local") and HOME not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, known)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -86,3 +99,9 @@ def positions(df: DataFrame, order: list[Column], size: str | None = None) -> Da
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def once(c: Column) -> Column:
+    """c, computed once a row: a generated column isn't copied into the expressions that use it, as
+    the optimizer does with a projected one. Stands alone in a select."""
+    return F.explode(F.array(c))
