@@ -22,7 +22,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, table
+from ._common import ascii_lower, once, table
 
 K = 3
 DRIFT = 3
@@ -69,7 +69,7 @@ def _words(text):
 
 def matches(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """(doc_id, text_hash, template, is_phrase, label, grams, diagonal, votes) of all diagonals with votes."""
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("w"))
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), once(_words(F.col("text"))).alias("w"))
     n = F.size("w") - (K - 1)
     words = words.where(n > 0).select("doc_id", "text_hash", F.arrays_zip(*[F.slice("w", i + 1, n).alias(f"w{i}") for i in range(K)]).alias("grams_"))
     rolled = words.select("doc_id", "text_hash", F.posexplode("grams_").alias("pos", "g")).select(
@@ -107,11 +107,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
         F.array_join(F.array_sort(F.collect_set(F.when(verified, F.col("label")))), ",").alias("labels"),
         F.max(F.when(verified, share)).alias("score"),
     )
-    words = _words(F.col("text"))
-    each = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"),
-        F.when(words[0] == "", F.lit(0)).otherwise(F.size(words)).cast("long").alias("n_words"),
-    )
+    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), once(_words(F.col("text"))).alias("w"))
+    each = each.select("doc_id", "text_hash", F.when(F.col("w")[0] == "", F.lit(0)).otherwise(F.size("w")).cast("long").alias("n_words"))
     hits = hits.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     return each.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
