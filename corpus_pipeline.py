@@ -1,10 +1,82 @@
-"""Corpus pipeline: language ID, near-dedup, mixing and packing over the documents table."""
+"""Corpus pipeline over the documents table: language ID, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+reread as the next one's docs. All but the last return the columns of documents. A null text is
+rejected by the first stage; rows that repeat a whole row count as copies in the second; an empty
+table passes through as one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritab.llm import langid, minhash, mixing, packing
+from veritab.llm._common import importable, scratch, table
+from veritab.llm._tokens import tokenizer_path
+
+#: Texts that no language's regression claims score at most this.
+MIN_SCORE = 0.2
+#: SQL expresses neither the kernel classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the corpus's languages; those without text or letters, or that no
+    language claims, go."""
+    importable(spark)
+    found = langid.identify(docs, langid.fit(docs.select("doc_id", "text", "lang")))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > MIN_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id: word
+    5-grams, similarity 0.8 or more. Documents without words stay."""
+    importable(spark)
+    found = minhash.near_duplicates(docs, k=5).where("kept")
+    grouped = found.where("n_shingles > 0").dropDuplicates(["root"])
+    stay = grouped.unionByName(found.where("n_shingles = 0"))
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_no_id": F.col("doc_id").isNull()}
+    stay = stay.select(*[c.alias(k) for k, c in keys.items()], F.col("text_hash").alias("_hash")).distinct()
+    own = docs.withColumns(keys | {"_hash": F.xxhash64("text")})
+    return own.join(stay, ["_id", "_no_id", "_hash"], "left_semi").dropDuplicates(["_id", "_no_id", "_hash"]).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mix: it is the order of the files and of their rows."""
+    importable(spark)
+    places = mixing.mix(docs).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_hash", F.col("position").alias("_position")
+    )
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_hash"))
+    return own.join(places, same).orderBy("_position").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in the order in which the stage before left them (that of
+    doc_id where docs isn't read from files)."""
+    importable(spark)
+    order = ["doc_id"]
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        placed = docs
+    else:
+        placed = placed.withColumn("_part", F.regexp_extract("_file", r"part-(\d+)", 1).cast("long"))
+        order = ["_part", "_file", "_row"]
+    return packing.pack(placed, tokenizer_path("word_bpe_49k.json"), order=order)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the packed corpus."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -94,8 +94,8 @@ def estimate(differing: int, count: int = PERMUTATIONS, bits: int = SKETCH_WORDS
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, key, bands, sketch): key stands for the set, 16 bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    """(doc_id, text_hash, n_shingles, key, bands, sketch): key stands for the set, 16 bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         for whole in batches:
@@ -109,10 +109,10 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     mins.append(min_hashes(x))
                 m = np.array(mins)
                 lists = [pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), pa.array(v.ravel())) for v in (band_keys(m), odd_sketches(m))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *lists], schema=schema)
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return slim.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -160,7 +160,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, share: int = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, key, root, component_id, kept) for every row; root: the component's number."""
+    """(doc_id, text_hash, n_shingles, key, root, component_id, kept) for every row; root: the component's number."""
     signed = checkpoint(signatures(docs, k))
     classes = signed.where("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = SHARE) -> DataFram
             roots = components(links.unionByName(more))
     rooted = classes.select("cid", "key", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "root", "component_id")
-    out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "key").join(named, "key", "left")
     alone = F.col("n_shingles") == 0
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -49,3 +49,5 @@ def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_balanced_shards": op6_balanced_shards}
+
+# DuckDB has no crc32, so the SQL computes it bit by bit from the UTF-8 bytes.
