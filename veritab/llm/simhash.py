@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, positions, table
+from ._common import checkpoint, once, positions, table
 
 SHINGLE = 5
 RADIUS = 3
@@ -33,16 +33,20 @@ BLOCKS = 5
 PAIRED = 0x100000001
 
 
-def terms(text: Column, shingle: int = SHINGLE) -> Column:
-    """The array of the text's word n-grams, as structs of words."""
-    words = F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+def words_of(text: Column) -> Column:
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+
+
+def terms(words: str, shingle: int = SHINGLE) -> Column:
+    """The array of word n-grams, as structs of words; of fewer words, the one of them all."""
     n = F.greatest(F.size(words) - (shingle - 1), F.lit(1))
     return F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(shingle)])
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """(keys, _copies, fp) for each distinct combination of the keys, which must determine the text."""
-    each = texts.select(*keys, terms(F.col(text_col), shingle).alias("_terms"))
+    each = texts.select(*keys, once(words_of(F.col(text_col))).alias("_words"))
+    each = each.select(*keys, once(terms("_words", shingle)).alias("_terms"))
     each = each.select(*keys, F.size("_terms").alias("_n"), F.inline("_terms").alias(*[f"w{i}" for i in range(shingle)]))
     each = each.select(*keys, "_n", F.xxhash64(*[f"w{i}" for i in range(shingle)]).alias("_term"))
     votes = [F.sum(F.shiftrightunsigned("_term", i).bitwiseAND(F.lit(PAIRED))).alias(f"v{i}") for i in range(32)]
@@ -84,23 +88,29 @@ def near_tables(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _h, n_chars, next_id, edited): each document and its edited text."""
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("_h", F.xxhash64("text")).withColumn("n_chars", F.length("text").cast("long"))
-    ids = own.groupBy("doc_id").agg(F.max(F.expr("n_chars div 3")).alias("_need"))
-    ids = positions(ids, [F.col("doc_id").desc_nulls_last()])
+    """(_k, _z, text, _h, n_chars, _nk, _nz, _next_h, edited): each document and its edited text.
+
+    _k, _z: the doc_id, 0 for null, and whether it is null; _nk, _nz: the next document's. Both joins
+    deal the texts by the same columns, so that they are shuffled once; of next documents only the
+    heads that are taken are.
+    """
+    own = docs.select(
+        F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("_k"), F.col("doc_id").isNull().alias("_z")
+    )
+    ids = own.groupBy("_k", "_z").agg(F.max(F.expr("length(text) div 3")).alias("_need"))
+    ids = positions(ids, [F.col("_z"), F.col("_k").desc()])
     count = ids.agg(F.count("*").alias("_all"))
     turned = ids.join(F.broadcast(count)).select(  # one row
-        F.col("doc_id").alias("_prev"), F.expr("pmod(_pos + 1, _all)").alias("_pos"), F.col("_need").alias("_taken")
-    )
-    links = turned.join(ids.select("_pos", F.col("doc_id").alias("next_id")), "_pos").select("_prev", "next_id", "_taken")
-    from_next = own.alias("n").join(links, F.col("n.doc_id").eqNullSafe(F.col("next_id"))).select(
-        "_prev", "next_id", F.struct("n._h", F.expr("substring(n.text, 1, cast(_taken as int))").alias("head")).alias("_first")
+        F.col("_k").alias("_pk"), F.col("_z").alias("_pz"), F.expr("pmod(_pos + 1, _all)").alias("_pos"), F.col("_need").alias("_taken")
     )
-    heads = from_next.groupBy("_prev", "next_id").agg(F.min("_first").alias("_first"))
-    return own.join(heads, F.col("doc_id").eqNullSafe(F.col("_prev"))).select(
-        "doc_id", "text", "_h", "n_chars", "next_id", F.col("_first._h").alias("_next_h"),
-        F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(_first.head, 1, cast(n_chars div 3 as int)))").alias("edited"),
+    links = turned.join(ids.select("_pos", "_k", "_z"), "_pos").drop("_pos")
+    head = F.struct(F.xxhash64("text").alias("h"), F.expr("substring(text, 1, cast(_taken as int))").alias("head"))
+    heads = own.join(links, ["_k", "_z"]).groupBy("_pk", "_pz").agg(F.min(head).alias("_first"), F.max("_k").alias("_nk"), F.max("_z").alias("_nz"))
+    both = own.join(heads.withColumnsRenamed({"_pk": "_k", "_pz": "_z"}), ["_k", "_z"])
+    cut = F.expr("length(text) div 3").cast("int")
+    return both.select(
+        "_k", "_z", "text", F.xxhash64("text").alias("_h"), F.length("text").cast("long").alias("n_chars"), "_nk", "_nz", F.col("_first.h").alias("_next_h"),
+        F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(F.col("_first.head"), F.lit(1), cut)).alias("edited"),
     )
 
 
@@ -108,24 +118,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beside the contract's columns, n_within: for documents whose id is divisible by 100, how many
     documents have a fingerprint within RADIUS bits, itself included, found by the block tables."""
     pairs = with_next(table(spark, sf_dir, "documents"))
-    both = pairs.select(
-        "doc_id", "_h", "n_chars", "next_id", "_next_h", F.sha2("edited", 256).alias("edited_sha256"),
-        F.inline(F.array(F.struct(F.lit(0).alias("_kind"), F.col("text").alias("_body")), F.struct(F.lit(1).alias("_kind"), F.col("edited").alias("_body")))),
-    )
-    keys = ["doc_id", "_h", "n_chars", "next_id", "_next_h", "edited_sha256"]
+    keys = ["_k", "_z", "_h", "n_chars", "_nk", "_nz", "_next_h", "edited_sha256"]
+    body = lambda kind, c: F.struct(F.lit(kind).alias("_kind"), F.col(c).alias("_body"))
+    both = pairs.withColumn("edited_sha256", F.sha2("edited", 256)).select(*keys, F.inline(F.array(body(0, "text"), body(1, "edited"))))
     fps = fingerprints(both, [*keys, "_kind"], "_body")
     of = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("fp")))
     found = checkpoint(fps.groupBy(*keys).agg(F.max("_copies").alias("_copies"), of(0).alias("fp"), of(1).alias("edited_fp")))
-    known = found.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_id_h"), F.col("fp").alias("next_fp")).distinct()
-    out = found.join(known, F.col("next_id").eqNullSafe(F.col("_id")) & (F.col("_next_h") == F.col("_id_h")))
-    distinct = found.groupBy("fp").agg(F.sum("_copies").alias("_docs"), F.max(F.col("doc_id") % 100 == 0).alias("_asks"))
+    known = found.select(F.col("_k").alias("_nk"), F.col("_z").alias("_nz"), F.col("_h").alias("_next_h"), F.col("fp").alias("next_fp")).distinct()
+    asks = ~F.col("_z") & (F.col("_k") % 100 == 0)
+    distinct = found.groupBy("fp").agg(F.sum("_copies").alias("_docs"), F.max(asks).alias("_asks"))
     near = near_tables(distinct.where("_asks").select("fp"), distinct.select("fp"))
     near = near.join(distinct.select("fp", "_docs"), "fp").groupBy(F.col("query_fp").alias("fp")).agg(F.sum("_docs").alias("n_within"))
-    out = out.join(near, "fp", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    out = found.join(known, ["_nk", "_nz", "_next_h"]).join(near, "fp", "left")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"),
-        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
-        F.when(F.col("doc_id") % 100 == 0, F.col("n_within")).alias("n_within"),
+        F.when(~F.col("_z"), F.col("_k")).alias("doc_id"), "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"),
+        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), F.when(asks, F.col("n_within")).alias("n_within"),
     )
 
 
