@@ -34,6 +34,11 @@ def _run(spark, d) -> run.Run:
     return _RUNS[key]
 
 
+def forget() -> None:
+    """Later queries make their runs anew."""
+    _RUNS.clear()
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.floor(F.col(c) * 10000 + 0.5) / 10000 for c in columns})
 
