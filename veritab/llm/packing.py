@@ -30,8 +30,8 @@ from ._common import table
 from ._tokens import U4, encoder, tokenizer_path
 
 WINDOW = 4096
-SENTENCE_PENALTY = 8
-INNER_PENALTY = 256
+#: Shares of a window that a cut at a sentence's end, or inside a sentence, costs.
+SENTENCE_PENALTY, INNER_PENALTY = 1 / 512, 1 / 64
 SEGMENT = 1 << 19
 TASK_BYTES = 16 << 20
 MAX_TASKS = 20_000
@@ -39,9 +39,10 @@ MAX_TASKS = 20_000
 ENDERS, CLOSERS = ".!?。！？…", "\"')]}»”’"
 
 
-def choose_cuts(spots: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Indices of the chosen cuts, the last one included. spots: ascending positions over 0, each at
-    most window after the one before; penalties: of a cut there."""
+def choose_cuts(spots: np.ndarray, penalties: np.ndarray, window: int = WINDOW, open_end: bool = False) -> list[int]:
+    """Indices of the chosen cuts. spots: ascending positions over 0, each at most window after the
+    one before; penalties: of a cut there. The last cut is the last spot; with open_end it is the
+    cheapest of those that leave a window or less behind them, for what is still to come."""
     at = [0, *spots.tolist()]
     fee = [0, *penalties.tolist()]
     best, back = [0] * len(at), [0] * len(at)  # best: cost plus position
@@ -56,30 +57,32 @@ def choose_cuts(spots: np.ndarray, penalties: np.ndarray, window: int = WINDOW)
             queue.pop()
         queue.append(j)
     out, j = [], len(at) - 1
+    if open_end:
+        j = min((i for i in range(1, len(at)) if at[-1] - at[i] <= window), key=lambda i: (best[i] - at[i], -i))
     while j:
         out.append(j - 1)
         j = back[j]
     return out[::-1]
 
 
-def spots_of(lengths: list[int], sentence_ends: list[np.ndarray], window: int = WINDOW, sentence_penalty: int = SENTENCE_PENALTY, inner_penalty: int = INNER_PENALTY) -> tuple[np.ndarray, np.ndarray]:
+def spots_of(lengths: list[int], sentence_ends: list[np.ndarray], window: int = WINDOW, sentence_penalty: float = SENTENCE_PENALTY, inner_penalty: float = INNER_PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """Positions where the stream may be cut, and the penalties there."""
     ends = np.cumsum(lengths)
     inner = [s + e - n for s, e, n in zip(sentence_ends, ends, lengths)]
     spots = np.concatenate([*inner, ends]).astype(np.int64)
-    fees = np.full(len(spots), sentence_penalty, np.int64)
+    fees = np.full(len(spots), round(sentence_penalty * window), np.int64)
     fees[len(spots) - len(ends) :] = 0
     order = np.lexsort((fees, spots))
     spots, fees = spots[order], fees[order]
     first = np.concatenate([[True], spots[1:] > spots[:-1]]) & (spots > 0)
     spots, fees = spots[first], fees[first]
-    # inside a long sentence, a cut every quarter window
+    # inside a long sentence, a cut every 128th of a window
     gaps = np.diff(np.concatenate([[0], spots]))
-    step = window // 4
+    step = max(1, window // 128)
     more = [np.arange(e - g + step, e, step) for e, g in zip(spots[gaps > step], gaps[gaps > step])]
     if more:
         more_at = np.concatenate(more)
-        spots, fees = np.concatenate([spots, more_at]), np.concatenate([fees, np.full(len(more_at), inner_penalty)])
+        spots, fees = np.concatenate([spots, more_at]), np.concatenate([fees, np.full(len(more_at), round(inner_penalty * window))])
         order = np.argsort(spots, kind="stable")
         spots, fees = spots[order], fees[order]
     return spots, fees
@@ -115,9 +118,7 @@ class _Stream:
             return
         lengths = [len(d[1]) // 4 for d in self.docs]
         spots, fees = spots_of(lengths, [d[2] for d in self.docs], self.window)
-        cuts = [int(spots[c]) for c in choose_cuts(spots, fees, self.window)]
-        if not last:
-            cuts.pop()
+        cuts = [int(spots[c]) for c in choose_cuts(spots, fees, self.window, open_end=not last)]
         begin, k, used = 0, 0, 0  # used: ids of document k that are in windows already
         for cut in cuts:
             offset = 0
