@@ -121,4 +121,31 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def _rows(phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> str:
+    out = []
+    for n, (text, label) in enumerate([*phrases.items(), *notices.items()]):
+        words = words_of(text)
+        out += [f"({n}, {str(n < len(phrases)).lower()}, '{label}', {len(words) - K + 1}, {at}, '{words[at]}', '{words[at + 1]}', '{words[at + 2]}')" for at in range(len(words) - K + 1)]
+    return ", ".join(out)
+
+
+ORACLE = {
+    "op8_license_scan": rf"""
+with t(template, is_phrase, label, grams, spot, t0, t1, t2) as (values {_rows()}),
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+p as (select doc_id, w, unnest(range(0, len(w) - 2)) as pos from w where len(w) > 2),
+h as (select doc_id, template, is_phrase, label, grams, pos - spot as diagonal, spot from p join t on w[pos + 1] = t0 and w[pos + 2] = t1 and w[pos + 3] = t2),
+v as (select doc_id, template, is_phrase, label, grams, diagonal, count(*) as votes, list(spot) as ats from h group by all),
+f as (select *, coalesce(cast(diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > {DRIFT} as int), 1) as fresh from v),
+s as (select *, sum(fresh) over (partition by doc_id, template order by diagonal) as span from f),
+m as (select doc_id, template, is_phrase, label, grams, span, len(list_distinct(flatten(list(ats)))) / any_value(grams) as share, count(*) filter (is_phrase and votes = grams) as n_whole,
+    min(diagonal) filter (is_phrase and votes = grams) as first_at, max(diagonal) filter (is_phrase and votes = grams) as last_at from s group by all),
+d as (select doc_id, cast(sum(n_whole) as bigint) as n_base, min(first_at) as first_word, max(last_at) as last_word,
+    coalesce(array_to_string(list_sort(list(distinct label) filter (n_whole > 0)), ','), '') as base_labels,
+    coalesce(array_to_string(list_sort(list(distinct label) filter (n_whole > 0 or (not is_phrase and share >= {COVERED}))), ','), '') as labels,
+    max(share) filter (n_whole > 0 or (not is_phrase and share >= {COVERED})) as score from m group by 1)
+select w.doc_id, len(w.w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0) as score
+from w left join d using (doc_id)
+"""
+}
 QUERIES = {"op8_license_scan": op8_license_scan}

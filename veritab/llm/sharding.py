@@ -48,6 +48,18 @@ def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# DuckDB has no crc32: the SQL makes the table of its polynomial and folds the UTF-8 bytes.
+ORACLE = {
+    "op6_balanced_shards": f"""
+with t as materialized (select list(c order by n) as crcs from (select n, list_reduce(list_prepend(n, range(0, 8)), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as c from range(0, 256) r(n))),
+d as (select doc_id, coalesce(text, '') as x from documents),
+h as (select doc_id, x, hex(encode(x)) as hx from d),
+c as (select doc_id, octet_length(encode(x)) + 1 as size,
+    case when x = '' then 0 else xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(hx) // 2), lambda i: cast(concat('0x', substr(hx, 2 * i + 1, 2)) as bigint))),
+        lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295) end as text_crc32 from h, t),
+p as (select *, coalesce(sum(size) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as before, sum(size) over () as total from c),
+s as (select *, cast((2 * before + size) * {SHARDS} // (2 * total) as int) as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id) - 1 as slot, cast(null as int) as grown_shard from s
+"""
+}
 QUERIES = {"op6_balanced_shards": op6_balanced_shards}
-
-# DuckDB has no crc32, so the SQL computes it bit by bit from the UTF-8 bytes.

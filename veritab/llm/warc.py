@@ -202,4 +202,15 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(pages, scratch(spark, "warc")))[0]
 
 
+ORACLE = {
+    "op5_warc": """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h)) as payload_bytes, sha1(h) as hex, min(page_id) over (partition by h) as first from p)
+select page_id, payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        cast(((cast(concat('0x', substr(hex, cast(j // 4 * 5 + 1 as int), 5)) as bigint) >> cast(15 - 5 * (j % 4) as int)) & 31) + 1 as int), 1)), '') as payload_digest,
+    case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from d
+"""
+}
 QUERIES = {"op5_warc": op5_warc}
