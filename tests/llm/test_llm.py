@@ -521,12 +521,14 @@ def test_near_duplicate_edges(spark, odd, empty):
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
-    got = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.root for r in minhash.components(frame).collect()}
     root = {x: x for e in edges for x in e}
     for _ in range(400):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {k: v for k, v in root.items() if k != v}
+    assert got == {r.node: r.root for r in minhash.components(frame, task_edges=50).collect()}
 
 
 def test_odd_sketch_estimates():

@@ -10,8 +10,10 @@ under 1e-6), and the rest is confirmed on the full sets.
 
 No bucket is turned into all of its pairs. Each class is first compared with its buckets' smallest
 class; components of the confirmed links follow. A bucket whose classes all lie in one component is
-done. In the others every class outside the bucket's main component is compared with the classes
-of other components, so that no link between components is lost, whatever the bucket's size.
+done. In the others every class outside the bucket's main component meets one of that component, a
+few times over, and what is then still apart is compared with all classes of other components, so
+that no link between components is lost, whatever the bucket's size. An exact bound by shingles
+that no other class has leaves few of those pairs.
 Buckets, pairs and components stay distributed; skewed joins are split at run time.
 
 Defined results: null and word-less texts have n_shingles 0 and a component of their own; a null
@@ -27,15 +29,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, table
+from ._common import checkpoint, partitions, table
 
 PERMUTATIONS, BANDS = 128, 32
 SKETCH_WORDS = 16  # of 64 bits
 SKETCH_LIMIT = 128  # differing bits
 SHARE = 80  # least similarity in hundredths
+TURNS = 2
+TASK_EDGES = 500_000
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,29 +119,54 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>, sketch array<long>")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(key, shingles) of the documents."""
-    schema = pa.schema([("key", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(cid, shingles) from (cid, key, text), of the texts whose set the key stands for."""
+    schema = pa.schema([("cid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                sets = [shingle_set(t.as_py(), k) for t in whole.slice(at, 256).column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], schema=schema)
+                cids, sets = [], []
+                for cid, key, text in zip(*whole.slice(at, 256).columns):
+                    x = shingle_set(text.as_py(), k)
+                    if xxhash.xxh3_128_digest(x.tobytes()) == key.as_py():
+                        cids.append(cid.as_py())
+                        sets.append(x.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+
+    return texts.select("cid", "key", "text").mapInArrow(run, "cid long, shingles array<long>")
+
+
+def _forest(batches):
+    """Of the edges (u, v) of a task, each node with the smallest node that it is joined to."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
 
-    return docs.select("text").mapInArrow(run, "key binary, shingles array<long>")
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+    pairs = [(x, find(x)) for x in root]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root) for all nodes of the edges (a, b) but the roots: the smallest node of each
-    component, by alternating large and small stars. Every round is checkpointed."""
+    component. Tasks of some task_edges edges first contract what they hold to stars; what spans
+    several tasks is joined by alternating large and small stars, each round checkpointed."""
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = checkpoint(e), None
-    while True:
+    e = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    tasks = 1 + e.count() // task_edges
+    e, seen = checkpoint(e.repartition(tasks).mapInArrow(_forest, "u long, v long").distinct()), None
+    while tasks > 1:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         seen = state
         pairs = both(e)
         least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -145,6 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _differing(a: str, b: str, words: int = SKETCH_WORDS):
@@ -159,6 +189,28 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
     return counted.where(100 * F.col("i") >= share * (F.col("n") - F.col("i"))).select("a", "b")
 
 
+def crossing_pairs(rest: DataFrame, sketches: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """Pairs (a, b) in one bucket but different components that may be similar.
+
+    A shingle that no other class here has can't be in an intersection. So a pair with a set of n
+    shingles, u of them its own, has at most n - u in common, and at 0.8 needs 4/9 of both sizes: an
+    exact bound that leaves out most classes which are alike but not alike enough.
+    """
+    owned = sets.select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("cid").alias("cid"))
+    owned = owned.where("n = 1").groupBy("cid").agg(F.count("*").alias("own"))
+    sizes = sets.select("cid", F.size("shingles").alias("n")).join(owned, "cid", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    hopeful = sizes.where(100 * F.col("most") >= share * F.col("n")).select("cid", "n", "most")
+    x = checkpoint(rest.join(hopeful, "cid").join(sketches, "cid"))
+    l, r = x.where("root <> main").alias("l"), x.alias("r")
+    crossing = (
+        (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") != F.col("r.root"))
+        & ((F.col("r.root") == F.col("r.main")) | (F.col("l.cid") < F.col("r.cid")))
+        & ((100 + share) * F.least("l.most", "r.most") >= share * (F.col("l.n") + F.col("r.n")))
+        & (_differing("l", "r") <= SKETCH_LIMIT)
+    )
+    return l.join(r, crossing).select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, share: int = SHARE) -> DataFrame:
     """(doc_id, text_hash, n_shingles, key, root, component_id, kept) for every row; root: the component's number."""
     signed = checkpoint(signatures(docs, k))
@@ -180,33 +232,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = SHARE) -> DataFram
     near = members.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
     near = checkpoint(sketched(near))
 
+    # the full sets of all classes that share a bucket, dealt by class: joins to them don't move them
+    wanted = members.select("cid").distinct().join(classes.select("cid", "key", "rep"), "cid")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        named = ids.join(classes.select("cid", "key", "rep"), "cid")
-        own = texts.join(named.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-        sets = shingle_sets(own, k).join(named.select("cid", "key"), "key")
-        return sets.select("cid", "shingles").dropDuplicates(["cid"])
-
-    links = checkpoint(confirm(near, sets_of(near), share))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "key", "text")
+    sets = checkpoint(shingle_sets(texts, k).repartition(partitions(docs.sparkSession), "cid"))
+
+    def opened(roots: DataFrame) -> DataFrame:
+        """(bucket, cid, root, main) of the buckets whose classes other than the pivot, which met
+        them all, lie in several components."""
+        x = members.where("cid <> pivot").select("bucket", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+        x = x.withColumn("root", F.coalesce("root", "cid"))
+        sizes = x.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        mains = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+        return checkpoint(x.join(mains.where("roots > 1").drop("roots"), "bucket"))
+
+    links = checkpoint(confirm(near, sets, share))
     roots = components(links)
-    label = lambda df: df.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    # buckets whose classes other than the pivot lie in several components
-    open_ = label(members.where("cid <> pivot"))
-    sizes = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mains = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    rest = checkpoint(open_.join(mains, "bucket").join(sketches, "cid").select("bucket", "cid", "root", "main", "sketch"))
-    l, r = rest.where("root <> main").alias("l"), rest.alias("r")
-    crossing = (
-        (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") != F.col("r.root"))
-        & ((F.col("r.root") == F.col("r.main")) | (F.col("l.cid") < F.col("r.cid"))) & (_differing("l", "r") <= SKETCH_LIMIT)
-    )
-    late = l.join(r, crossing).select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
-    late = checkpoint(late)
-    if late.take(1):
-        more = checkpoint(confirm(late, sets_of(late), share))
-        if more.take(1):
+    rest = opened(roots)
+    for turn in range(TURNS):  # a class outside its bucket's main component meets one class of it
+        first = Window.partitionBy("bucket").orderBy(F.xxhash64("cid", F.lit(turn)), "cid")
+        mates = rest.where("root = main").withColumn("n", F.row_number().over(first)).where("n = 1").select("bucket", F.col("cid").alias("mate"))
+        pairs = rest.where("root <> main").join(mates, "bucket").select(F.least("cid", "mate").alias("a"), F.greatest("cid", "mate").alias("b")).distinct()
+        pairs = checkpoint(sketched(pairs))
+        more = checkpoint(confirm(pairs, sets, share))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = components(links)
+        rest = opened(roots)
+    if not rest.isEmpty():
+        late = checkpoint(crossing_pairs(rest, sketches, sets.join(rest.select("cid").distinct(), "cid", "left_semi"), share))
+        more = checkpoint(confirm(late, sets, share))
+        if not more.isEmpty():
             roots = components(links.unionByName(more))
     rooted = classes.select("cid", "key", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "root", "component_id")
@@ -221,4 +279,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+ORACLE = {
+    "op10_near_duplicates": r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as g from w),
+c as (select g, min(doc_id) as rep, len(g) as n from (select doc_id, list_sort(g) as g from g) where len(g) > 0 group by g),
+e as (select rep, n, unnest(g) as s from c),
+i as (select a.rep as a, b.rep as b, a.n as na, b.n as nb, count(*) as shared from e a join e b on a.s = b.s and a.rep < b.rep and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) group by all),
+l as (select a, b from i where 100 * shared >= 80 * (na + nb - shared)),
+reach(x, y) as (select a, b from l union select b, a from l union select r.x, k.y from reach r join (select a as x, b as y from l union select b, a from l) k on k.x = r.y),
+root as (select x, least(x, min(y)) as r from reach group by x)
+select g.doc_id, len(g.g) as n_shingles, case when len(g.g) = 0 then g.doc_id else coalesce(root.r, c.rep) end as component_id,
+    g.doc_id = case when len(g.g) = 0 then g.doc_id else coalesce(root.r, c.rep) end as kept
+from g left join c on c.g = list_sort(g.g) left join root on root.x = c.rep
+"""
+}
 QUERIES = {"op10_near_duplicates": op10_near_duplicates}
