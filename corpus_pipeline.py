@@ -16,8 +16,6 @@ from veritab.llm import langid, minhash, mixing, packing
 from veritab.llm._common import importable, scratch, table
 from veritab.llm._tokens import tokenizer_path
 
-#: Texts that no language's regression claims score at most this.
-MIN_SCORE = 0.2
 #: SQL expresses neither the kernel classifier nor the tokenizer.
 ORACLE_SQL = None
 
@@ -27,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     language claims, go."""
     importable(spark)
     found = langid.identify(docs, langid.fit(docs.select("doc_id", "text", "lang")))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > MIN_SCORE)).select(*docs.columns)
+    return found.where("claimed").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

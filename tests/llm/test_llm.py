@@ -146,6 +146,25 @@ def test_kernel_is_the_blended_spectrum_kernel():
     assert got == pytest.approx(want)
 
 
+def test_language_stage_rejects_what_no_language_claims(spark, docs):
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 10))) for _ in range(n))
+    junk = [words(n) for n in (8, 20, 100, 1000)] + ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/"), 600))]
+    junk += [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    ]
+    planted = spark.createDataFrame([(10**9 + i, t, None, "junk", len(t)) for i, t in enumerate(junk)], docs.schema)
+    labelled = planted.limit(1).withColumns({"doc_id": F.lit(10**9 + 99).cast("long"), "lang": F.lit("en")})  # a wrong label
+    for frame in (docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        want = {r.doc_id for r in frame.collect() if any(c.isalpha() for c in r.text or "")}
+        got = {r.doc_id for r in corpus_pipeline.language_id(spark, frame.unionByName(planted).unionByName(labelled), "").collect()}
+        assert got == want
+        one = frame.where("lang = 'en'")
+        want = {r.doc_id for r in one.collect() if any(c.isalpha() for c in r.text or "")}
+        assert {r.doc_id for r in corpus_pipeline.language_id(spark, one.unionByName(planted), "").collect()} == want  # one language
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 0.9, "b": 0.05, "c": 0.05}, {"only": 1.0}, {str(i): 1 + i for i in range(30)}])

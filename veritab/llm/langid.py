@@ -12,6 +12,14 @@ hashes of their doc_id, and FIT_MAX in all: bounds that are parameters. Their n-
 on the executors. Prediction reads every whole text; a text's memory is its own bytes and a table
 of the 2**24 possible 3-grams, which each Python worker keeps.
 
+The regressions' scores of any text sum to 2 - L over L languages, so the best of them can't tell
+that no language fits. That is told by coverage: the share of a text's 3-grams of letters which two
+or more labelled documents of a language have. A language claims a text unless the coverage, with
+two standard errors 1/sqrt(3-grams) added, is under CLAIM of what the language's own labelled
+documents reach (their 5 percent quantile, each against the others). A text without such 3-grams
+is claimed, as is one predicted as a language of fewer than CLAIM_FROM labelled documents, which
+have no quantile.
+
 Defined results: null texts, and texts without any letter, are "und" with score 0; a null doc_id is
 not held out and not learned from; with no labelled documents all are "und"; equal scores go to the
 language that sorts first; repeated rows get equal results; an empty table gives no rows; extra
@@ -33,10 +41,13 @@ from ._common import table
 PER_LANGUAGE, FIT_MAX = 160, 2048
 LANDMARKS_PER_LANGUAGE, LANDMARKS_MAX = 40, 240
 RIDGE, UNKNOWN = 1e-3, "und"
+CLAIM, CLAIM_FROM = 0.5, 8
 _LETTER = re.compile(r"[^\W\d_]")
 _OFFSETS = (0, 1 << 8, (1 << 8) + (1 << 16))
 SPACE = (1 << 8) + (1 << 16) + (1 << 24)
 _seen: list[np.ndarray] = []
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[97:123] = _IN_WORD[128:] = True
 
 
 def ngrams(text: str) -> list[np.ndarray]:
@@ -57,6 +68,12 @@ def ngrams(text: str) -> list[np.ndarray]:
     return [g.astype(np.int64) + o for g, o in zip((one, two, three), _OFFSETS)]
 
 
+def spelled(three: np.ndarray) -> np.ndarray:
+    """The codes of the 3-grams that are letters only (all bytes beyond ASCII count as such)."""
+    b = three - _OFFSETS[2]
+    return three[_IN_WORD[b >> 16] & _IN_WORD[b >> 8 & 255] & _IN_WORD[b & 255]]
+
+
 class Classifier:
     """Learned from (language, n-gram codes) of labelled texts."""
 
@@ -78,6 +95,27 @@ class Classifier:
         penalty[-1, -1] = 1e-9
         w = np.linalg.solve(z.T @ z + penalty, z.T @ y)
         self.weights, self.bias = (root @ w[:-1]).astype(np.float32), w[-1]
+        self.learn_coverage(labels, [spelled(g[2]) for g in grams])
+
+    def learn_coverage(self, labels: list[str], letters: list[np.ndarray]) -> None:
+        self.codes = np.unique(np.concatenate(letters))
+        self.shared = np.zeros((len(self.languages), len(self.codes)), bool)
+        self.floor = np.full(len(self.languages), np.nan)
+        for i, language in enumerate(self.languages):
+            own = [np.searchsorted(self.codes, g) for g, l in zip(letters, labels) if l == language and len(g)]
+            n = np.bincount(np.concatenate([np.zeros(0, np.int64), *own]), minlength=len(self.codes))
+            self.shared[i] = n >= 2
+            if len(own) >= CLAIM_FROM:
+                self.floor[i] = CLAIM * np.quantile([(n[at] >= 3).mean() for at in own], 0.05)
+
+    def claimed(self, letters: np.ndarray, best: int) -> bool:
+        """Whether any language claims a text of these 3-grams of letters; best: the predicted one."""
+        if not len(letters) or np.isnan(self.floor[best]):
+            return True
+        at = np.searchsorted(self.codes, letters)
+        at = at[self.codes[np.minimum(at, len(self.codes) - 1)] == letters]
+        coverage = self.shared[:, at].sum(1) / len(letters) + 1 / np.sqrt(len(letters))
+        return bool((coverage >= self.floor).any())
 
     def rows(self, grams: list[list[np.ndarray]]) -> np.ndarray:
         """Presence over the landmarks' n-grams, each n scaled by its whole text's count."""
@@ -89,12 +127,14 @@ class Classifier:
                     row[known[known >= 0]] = 1 / np.sqrt(3 * len(codes))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        kernel = self.rows([ngrams(t or "") for t in texts]) @ self.landmarks.T
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        grams = [ngrams(t or "") for t in texts]
+        kernel = self.rows(grams) @ self.landmarks.T
         scores = kernel @ self.weights + self.bias
         best = scores.argmax(1)
         out = [self.languages[b] if t and _LETTER.search(t) else UNKNOWN for t, b in zip(texts, best)]
-        return out, [float(np.clip((s[b] + 1) / 2, 0, 1)) if o != UNKNOWN else 0.0 for s, b, o in zip(scores, best, out)]
+        score = [float(np.clip((s[b] + 1) / 2, 0, 1)) if o != UNKNOWN else 0.0 for s, b, o in zip(scores, best, out)]
+        return out, score, [o != UNKNOWN and self.claimed(spelled(g[2]), b) for g, b, o in zip(grams, best, out)]
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, fit_max: int = FIT_MAX) -> Classifier | None:
@@ -124,11 +164,11 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, fit_max: int = FI
 
 
 def identify(docs: DataFrame, model: Classifier | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred, score and claimed: whether any language claims the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANDMARKS_MAX rows of n-grams
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "claimed")]
     docs = docs.select(*columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("claimed", T.BooleanType())])
 
     def run(batches):
         for whole in batches:
@@ -136,10 +176,10 @@ def identify(docs: DataFrame, model: Classifier | None, text_col: str = "text")
                 batch = whole.slice(at, 256)
                 texts = batch.column(columns.index(text_col)).to_pylist()
                 if shared.value is None:
-                    found = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                    found = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
                 else:
                     found = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[0]), pa.array(found[1])], names=[*columns, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], names=[*columns, "lang_pred", "score", "claimed"])
 
     return docs.mapInArrow(run, schema)
 
