@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -200,6 +201,22 @@ def test_mix_edges(odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("weights", [{"a": 2, "b": 1}, {"a": Fraction(1, 3), "b": Fraction(1, 3), "c": Fraction(1, 6), "d": Fraction(1, 6)}, {"a": 1.0, "b": 2**0.5, "c": 1e-4}])
+def test_mix_follows_the_true_weights(spark, weights):
+    importable(spark)
+    total, slots = sum(map(Fraction, weights.values())), 30_000
+    share = {k: Fraction(w) / total for k, w in weights.items()}
+    table = " union all ".join(f"select id, '{k}' as source from range({int(slots * w) + 2})" for k, w in share.items())
+    docs = spark.sql(f"select id + 1000000 * ascii(source) as doc_id, cast(id as string) as text, source from ({table})")
+    got = sorted(mixing.mix(docs, weights, block_rows=1).toLocalIterator(), key=lambda r: r.position)
+    assert len(got) == docs.count() and all(r.release <= r.slot < r.deadline for r in got)
+    assert {r.source: r.weight for r in got} == pytest.approx({k: float(w) for k, w in share.items()}, rel=1e-12)
+    done = dict.fromkeys(share, 0)
+    for n, r in enumerate(got[:slots], 1):
+        done[r.source] += 1
+        assert all(abs(done[k] * w.denominator - n * w.numerator) < w.denominator for k, w in share.items())
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 PIECES = ["a  b", "a   b", "  x", "x ", "x  ", " ", "", "foo\n bar", "foo\n\n bar", "foo\n \nbar", "it's  I'll 'S ÀÉ ß İ Σς", "<|endoftext|> hi", "a b", "a\x1cb", "日本 123 4.5!!", "é ́x", "\ttab\t x", "x_y__z --- ..."]

@@ -5,11 +5,14 @@ its j-th block is released at the left end and due at the right end. Earliest de
 released blocks meets every deadline when the weights sum to 1, so at any slot each source has had
 within one block of its weight's share.
 
-Weights become integer shares c of a period of C slots; the schedule repeats with that period, so
-only one period is computed (on the driver: C rows, a parameter, however large the corpus is) and
-joined to the blocks. A block is block_rows consecutive documents of a source in doc_id order. A
-slot whose source has run out is skipped: up to the first such slot the deviation bound holds for
-all sources, later the rest keep their mutual shares and every document is placed.
+Weights are exact rationals (a double stands for its own value), brought to coprime integers c with
+the sum C: w = c / C. The schedule follows every block of the corpus with releases and deadlines in
+whole numbers. It is made on the driver, one heap operation a block, and goes to the shared folder
+CHUNK blocks at a time, so the driver's memory follows the sources and its time the blocks. A block
+is block_rows consecutive documents of a source in doc_id order. A source that has run out has no
+further blocks; a slot for which no block is released stays empty. Until the first source has run
+out no slot is empty and the deviation bound holds for all sources; later the others keep their
+windows, and so their mutual shares, and every document is placed.
 
 Defined results: null sources are one source of their own; repeated rows take adjacent places;
 null or empty texts are documents like any other; an empty table gives no rows; sources beyond the
@@ -20,14 +23,18 @@ the input are not read. Sources without a stated weight, or with one of 0, are t
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import positions, table
+from ._common import positions, scratch, table
 
-PERIOD = 1000
+CHUNK = 1 << 19
 BLOCK_ROWS = 8
 ALPHA = 0.5
 MAX_SOURCES = 1024
@@ -35,7 +42,8 @@ NULL, REST = "n", "r"
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Positive integers in proportion to the weights with the sum period, by largest remainder."""
+    """Positive integers in proportion to the weights with the sum period, by largest remainder:
+    rounded, for plans of one short period. mix doesn't round."""
     live = {k: Fraction(v) for k, v in weights.items() if v > 0}
     total = sum(live.values())
     exact = {k: v * period / total for k, v in live.items()}
@@ -48,36 +56,65 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def schedule(counts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, j, release, deadline, slot) for one period of sum(counts) slots; j counts from 0."""
-    period = sum(counts.values())
-    window = lambda k, j: (j * period // counts[k], -(-(j + 1) * period // counts[k]))
-    waiting = [(window(k, 0)[0], k, 0) for k in counts]
+def exact(weights: dict[str, float | Fraction]) -> dict[str, int]:
+    """Coprime positive integers in the very proportion of the weights over 0."""
+    live = {k: Fraction(v) for k, v in weights.items() if v > 0}
+    scale = math.lcm(*(v.denominator for v in live.values()))
+    whole = {k: v.numerator * (scale // v.denominator) for k, v in live.items()}
+    common = math.gcd(*whole.values())
+    return {k: v // common for k, v in whole.items()}
+
+
+def edf(counts: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, j, release, deadline, slot) of the sources' blocks by slot; j counts from 0."""
+    total = sum(counts.values())
+    waiting = [(0, k, 0) for k in counts if blocks.get(k, 0)]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
+    ready: list[tuple[int, str, int, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(k, j)[1], k, j))
-        deadline, k, j = heapq.heappop(ready)
-        out.append((k, j, window(k, j)[0], deadline, slot))
-        if j + 1 < counts[k]:
-            heapq.heappush(waiting, (window(k, j + 1)[0], k, j + 1))
-    return out
+            release, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * total // counts[k]), k, j, release))
+        deadline, k, j, release = heapq.heappop(ready)
+        yield k, j, release, deadline, slot
+        if j + 1 < blocks[k]:
+            heapq.heappush(waiting, ((j + 1) * total // counts[k], k, j + 1))
+        slot += 1
+
 
+def schedule(counts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """One period of sum(counts) slots."""
+    return list(edf(counts, counts))
 
-def tempered(docs: DataFrame, alpha: float = ALPHA, max_sources: int = MAX_SOURCES) -> dict[str, float]:
-    """Target weights in proportion to (rows of a source) ** alpha, keyed like _key below.
 
-    Reads one row per source, max_sources rows at most; the others' rows are pooled.
-    """
+def _plan(spark: SparkSession, counts: dict[str, int], blocks: dict[str, int]) -> DataFrame:
+    """The schedule of all blocks as (_key, block, release, deadline, slot)."""
+    schema = pa.schema([("_key", pa.string())] + [(c, pa.int64()) for c in ("block", "release", "deadline", "slot")])
+    path, steps = scratch(spark, "schedule"), edf(counts, blocks)
+    while True:
+        chunk = list(islice(steps, CHUNK))
+        columns = zip(*chunk) if chunk else [[]] * len(schema)
+        part = pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema)
+        spark.createDataFrame(part).write.mode("append").parquet(path)
+        if len(chunk) < CHUNK:
+            return spark.read.parquet(path)
+
+
+def tempered(counts: dict[str, int], alpha: float = ALPHA) -> dict[str, float]:
+    """Target weights in proportion to (rows of a source) ** alpha."""
+    return {k: float(n) ** alpha for k, n in counts.items()}
+
+
+def source_rows(docs: DataFrame, max_sources: int = MAX_SOURCES) -> dict[str, int]:
+    """Rows of the max_sources largest sources, keyed like _key below; the others' rows are pooled."""
     counts = docs.groupBy(_key("source").alias("k")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "k").limit(max_sources).collect()
-    out = {r.k: float(r.n) ** alpha for r in top}
-    rest = total - sum(r.n for r in top)
-    return out | ({REST: float(rest) ** alpha} if rest else {})
+    out = {r.k: r.n for r in counts.orderBy(F.desc("n"), "k").limit(max_sources).collect()}
+    rest = total - sum(out.values())
+    return out | ({REST: rest} if rest else {})
 
 
 def _key(c: str):
@@ -85,39 +122,35 @@ def _key(c: str):
     return F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit(NULL))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, max_sources: int = MAX_SOURCES) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = None, period: int | None = None, block_rows: int = BLOCK_ROWS, max_sources: int = MAX_SOURCES) -> DataFrame:
     """(doc_id, source, _hash, _copies, weight, block, release, deadline, slot, position) of every
-    distinct (doc_id, source, text); it takes the places position to position + _copies - 1."""
+    distinct (doc_id, source, text); it takes the places position to position + _copies - 1.
+
+    period is accepted for older callers: nothing is rounded to it.
+    """
     spark = docs.sparkSession
     rows = docs.groupBy("doc_id", "source", F.xxhash64("text").alias("_hash")).agg(F.count("*").alias("_copies"))
-    target = tempered(docs, max_sources=max_sources) if weights is None else {NULL if k is None else f"s{k}": w for k, w in weights.items()}
-    period = max(period, 4 * len(target))
-    counts = shares(target, period) if any(w > 0 for w in target.values()) else {}
-    plan = spark.createDataFrame(
-        [(*x, counts[x[0]], counts[x[0]] / period) for x in schedule(counts)],
-        "_key string, _j int, _release long, _deadline long, _slot long, _share long, weight double",
-    )
-    known = spark.createDataFrame([(k,) for k in counts], "_key string")
+    sizes = source_rows(docs, max_sources)
+    target = tempered(sizes) if weights is None else {NULL if k is None else f"s{k}": w for k, w in weights.items()}
+    counts = exact(target) if any(w > 0 for w in target.values()) else {}
+    total = sum(counts.values())
+    plan = _plan(spark, counts, {k: -(-n // block_rows) for k, n in sizes.items()})
+    known = spark.createDataFrame([(k, c / total) for k, c in counts.items()], "_key string, weight double")
     keyed = rows.withColumn("_key", _key("source"))
-    keyed = keyed.join(F.broadcast(known.withColumn("_known", F.lit(True))), "_key", "left")  # max_sources rows
+    keyed = keyed.join(F.broadcast(known.select("_key", F.lit(True).alias("_known"))), "_key", "left")  # max_sources rows
     keyed = keyed.withColumn("_key", F.when(F.col("_known"), F.col("_key")).otherwise(F.lit(REST))).drop("_known")
     placed = positions(keyed, [F.col(c) for c in ("_key", "source", "doc_id", "_hash")], "_copies")
-    first = placed.groupBy("_key").agg(F.min("_before").alias("_first"))
+    first = placed.groupBy("_key").agg(F.min("_before").alias("_first")).join(F.broadcast(known), "_key", "left")
     placed = (
         placed.join(F.broadcast(first), "_key")  # max_sources + 1 rows
         .withColumn("_at", F.col("_before") - F.col("_first"))
         .withColumn("block", F.expr(f"_at div {block_rows}"))
-        .join(F.broadcast(first.select("_key").join(F.broadcast(plan.select("_key", "_share").distinct()), "_key")), "_key", "left")
-        .withColumn("_turn", F.expr("block div _share"))
-        .withColumn("_j", F.expr("cast(block % _share as int)"))
-        .join(F.broadcast(plan.drop("_share")), ["_key", "_j"], "left")  # period rows
+        .join(plan, ["_key", "block"], "left")
     )
-    late = F.col("_slot").isNull()  # no weight: after all others
+    late = F.col("slot").isNull()  # no weight: after all others
     placed = placed.select(
         "doc_id", "source", "_hash", "_copies", F.coalesce("weight", F.lit(0.0)).alias("weight"), "block", "_at",
-        (F.col("_turn") * period + F.col("_release")).alias("release"),
-        (F.col("_turn") * period + F.col("_deadline")).alias("deadline"),
-        (F.col("_turn") * period + F.col("_slot")).alias("slot"),
+        "release", "deadline", "slot",
         F.when(late, 1).otherwise(0).alias("_late"),
     )
     order = ["_late", "slot", "_at"]
