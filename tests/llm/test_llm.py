@@ -217,6 +217,25 @@ def test_mix_follows_the_true_weights(spark, weights):
         assert all(abs(done[k] * w.denominator - n * w.numerator) < w.denominator for k, w in share.items())
 
 
+def test_mix_schedules_every_source(spark, monkeypatch):
+    importable(spark)
+    docs = spark.sql("select id as doc_id, cast(id as string) as text, concat('site', if(id < 7500, id % 1500, id % 100)) as source from range(9000)")
+    for limit in (mixing.BROADCAST_SOURCES, 10):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
+        got = sorted(mixing.mix(docs, block_rows=1).collect(), key=lambda r: r.position)
+        sizes = defaultdict(int)
+        for r in got:
+            sizes[r.source] += 1
+        assert len(sizes) == 1500 and set(sizes.values()) == {5, 20}
+        total, done = sum(n**0.5 for n in sizes.values()), np.zeros(1500)
+        share = np.array([n**0.5 / total for n in sizes.values()])
+        place = {k: i for i, k in enumerate(sizes)}
+        assert all(r.release <= r.slot < r.deadline and r.weight == pytest.approx(share[place[r.source]]) for r in got)
+        for n, r in enumerate(got[:5000], 1):
+            done[place[r.source]] += 1
+            assert abs(done - n * share).max() < 1
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 PIECES = ["a  b", "a   b", "  x", "x ", "x  ", " ", "", "foo\n bar", "foo\n\n bar", "foo\n \nbar", "it's  I'll 'S ÀÉ ß İ Σς", "<|endoftext|> hi", "a b", "a\x1cb", "日本 123 4.5!!", "é ́x", "\ttab\t x", "x_y__z --- ..."]

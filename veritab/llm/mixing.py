@@ -15,9 +15,9 @@ out no slot is empty and the deviation bound holds for all sources; later the ot
 windows, and so their mutual shares, and every document is placed.
 
 Defined results: null sources are one source of their own; repeated rows take adjacent places;
-null or empty texts are documents like any other; an empty table gives no rows; sources beyond the
-max_sources largest share one pooled entry of the schedule, ordered by source; extra columns of
-the input are not read. Sources without a stated weight, or with one of 0, are taken last.
+null or empty texts are documents like any other; an empty table gives no rows; every source has
+its own entry of the schedule, however many there are; extra columns of the input are not read.
+Sources without a stated weight, or with one of 0, are taken last.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ from ._common import positions, scratch, table
 CHUNK = 1 << 19
 BLOCK_ROWS = 8
 ALPHA = 0.5
-MAX_SOURCES = 1024
+#: Tables with one row a source are broadcast up to so many sources.
+BROADCAST_SOURCES = 1 << 16
 NULL, REST = "n", "r"
 
 
@@ -108,13 +109,10 @@ def tempered(counts: dict[str, int], alpha: float = ALPHA) -> dict[str, float]:
     return {k: float(n) ** alpha for k, n in counts.items()}
 
 
-def source_rows(docs: DataFrame, max_sources: int = MAX_SOURCES) -> dict[str, int]:
-    """Rows of the max_sources largest sources, keyed like _key below; the others' rows are pooled."""
-    counts = docs.groupBy(_key("source").alias("k")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    out = {r.k: r.n for r in counts.orderBy(F.desc("n"), "k").limit(max_sources).collect()}
-    rest = total - sum(out.values())
-    return out | ({REST: rest} if rest else {})
+def source_rows(docs: DataFrame) -> dict[str, int]:
+    """Rows of every source, keyed like _key below: one row a source comes to the driver."""
+    got = docs.groupBy(_key("source").alias("k")).agg(F.count("*").alias("n")).toArrow()
+    return dict(zip(got["k"].to_pylist(), got["n"].to_pylist()))
 
 
 def _key(c: str):
@@ -122,27 +120,30 @@ def _key(c: str):
     return F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit(NULL))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = None, period: int | None = None, block_rows: int = BLOCK_ROWS, max_sources: int = MAX_SOURCES) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = None, period: int | None = None, block_rows: int = BLOCK_ROWS, max_sources: int | None = None) -> DataFrame:
     """(doc_id, source, _hash, _copies, weight, block, release, deadline, slot, position) of every
     distinct (doc_id, source, text); it takes the places position to position + _copies - 1.
 
-    period is accepted for older callers: nothing is rounded to it.
+    period and max_sources are accepted for older callers: nothing is rounded to a period, and no
+    sources are pooled.
     """
     spark = docs.sparkSession
     rows = docs.groupBy("doc_id", "source", F.xxhash64("text").alias("_hash")).agg(F.count("*").alias("_copies"))
-    sizes = source_rows(docs, max_sources)
+    sizes = source_rows(docs)
     target = tempered(sizes) if weights is None else {NULL if k is None else f"s{k}": w for k, w in weights.items()}
     counts = exact(target) if any(w > 0 for w in target.values()) else {}
     total = sum(counts.values())
     plan = _plan(spark, counts, {k: -(-n // block_rows) for k, n in sizes.items()})
-    known = spark.createDataFrame([(k, c / total) for k, c in counts.items()], "_key string, weight double")
+    schema = pa.schema([("_key", pa.string()), ("weight", pa.float64())])
+    known = spark.createDataFrame(pa.table([pa.array(counts, pa.string()), pa.array([c / total for c in counts.values()], pa.float64())], schema))
+    small = F.broadcast if max(len(counts), len(sizes)) <= BROADCAST_SOURCES else lambda df: df
     keyed = rows.withColumn("_key", _key("source"))
-    keyed = keyed.join(F.broadcast(known.select("_key", F.lit(True).alias("_known"))), "_key", "left")  # max_sources rows
+    keyed = keyed.join(small(known.select("_key", F.lit(True).alias("_known"))), "_key", "left")
     keyed = keyed.withColumn("_key", F.when(F.col("_known"), F.col("_key")).otherwise(F.lit(REST))).drop("_known")
     placed = positions(keyed, [F.col(c) for c in ("_key", "source", "doc_id", "_hash")], "_copies")
-    first = placed.groupBy("_key").agg(F.min("_before").alias("_first")).join(F.broadcast(known), "_key", "left")
+    first = placed.groupBy("_key").agg(F.min("_before").alias("_first")).join(small(known), "_key", "left")
     placed = (
-        placed.join(F.broadcast(first), "_key")  # max_sources + 1 rows
+        placed.join(small(first), "_key")  # a row for each source
         .withColumn("_at", F.col("_before") - F.col("_first"))
         .withColumn("block", F.expr(f"_at div {block_rows}"))
         .join(plan, ["_key", "block"], "left")
