@@ -310,6 +310,18 @@ def test_warc_edges(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0), scratch(spark, "w")))[0].count() == 0
 
 
+def test_warc_long_url_and_strict_read(spark, tmp_path):
+    rows = [(1, "http://x/" + "a" * 100_000, "long"), (2, "http://x/" + "é\n" * 100_000, "longer"), (3, "http://x/", "short")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.payload_bytes for r in warc.op5_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: 4, 2: 6, 3: 5}
+    (tmp_path / "bad.warc.gz").write_bytes(warc.member(warc.page_record(1, "u", "x", warc.digest(b"x"), None, True)) + b"junk")
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/bad.warc.gz", 1)], "file string, records long")
+    assert warc.read_warc(manifest)[0].count() == 1
+    with pytest.raises(Exception, match="unreadable bytes"):
+        warc.read_warc(manifest, strict=True)[0].collect()
+
+
 def test_salvage_recovers_later_records():
     rows = [warc.page_record(i, "http://x/", f"page {i} " * 50, warc.digest((f"page {i} " * 50).encode()), None, True) for i in range(6)]
     for parts in ([warc.member(r) for r in rows], rows):

@@ -72,7 +72,7 @@ def member(data: bytes, level: int = LEVEL) -> bytes:
 
 def _parsed(data: bytes, at: int = 0) -> tuple[dict, int] | None:
     """The record at a place and the place behind it; None if a check fails."""
-    if not VERSION.match(data, at) or (head := data.find(_HEAD_END, at, at + (1 << 16))) < 0:
+    if not VERSION.match(data, at) or (head := data.find(_HEAD_END, at)) < 0:
         return None
     lines = data[at:head].decode("utf-8", "replace").split("\r\n")
     headers = {k.lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines[1:]) if sep}
@@ -166,9 +166,10 @@ def write_warc(pages: DataFrame, folder: str, revisit_from: int = 0, file_bytes:
     return checkpoint(dealt.mapInArrow(run, "file string, records long"))
 
 
-def read_warc(manifest: DataFrame, with_payload: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_warc(manifest: DataFrame, with_payload: bool = False, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """The records (page_id, payload_bytes, payload_digest, record_type, refers_to, and with
-    with_payload also payload), and the log of quarantined gaps (file, start, end)."""
+    with_payload also payload), and the log of quarantined gaps (file, start, end). With strict, a
+    gap in a file is an error of the records' read."""
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     schema = pa.schema(fields + [("payload", pa.binary())] * with_payload)
     number = lambda x: int(x) if x and x != "None" and x != "null" else None
@@ -176,7 +177,9 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> tuple[DataFram
     def records(batches):
         for batch in batches:
             for file in batch.column("file").to_pylist():
-                found = salvage(_files.read(file))[0]
+                found, lost = salvage(_files.read(file))
+                if strict and lost:
+                    raise ValueError(f"{file}: unreadable bytes {lost}")
                 rows = []
                 for r in found:
                     row = {"page_id": number(r.get("x-page-id")), "payload_bytes": number(r.get("x-payload-length")), "payload_digest": r.get("warc-payload-digest", "").removeprefix("sha1:"), "record_type": r.get("warc-type"), "refers_to": number(r.get("x-refers-to-page"))}
@@ -199,7 +202,7 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> tuple[DataFram
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return read_warc(write_warc(pages, scratch(spark, "warc")))[0]
+    return read_warc(write_warc(pages, scratch(spark, "warc")), strict=True)[0]
 
 
 ORACLE = {
