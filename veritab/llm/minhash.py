@@ -3,17 +3,21 @@
 A document's set holds the hashes of its distinct word k-grams (A-Z lower-cased, words between
 ASCII white space; fewer words: the whole sequence; none: empty, linked with nothing). Documents
 with equal sets form a class. 128 min-hashes of a class fall into 32 bands of 4: two sets with a
-similarity of 0.8 share no band with a probability under 1e-7. The min-hashes are also folded into
-an odd sketch, a 1024-bit parity bitmap; the bits in which two sketches differ tell how many
-min-hashes differ, so pairs far below the threshold are dropped (one of 0.8 with a probability
-under 1e-6), and the rest is confirmed on the full sets.
-
-No bucket is turned into all of its pairs. Each class is first compared with its buckets' smallest
-class; components of the confirmed links follow. A bucket whose classes all lie in one component is
-done. In the others every class outside the bucket's main component meets one of that component, a
-few times over, and what is then still apart is compared with all classes of other components, so
-that no link between components is lost, whatever the bucket's size. An exact bound by shingles
-that no other class has leaves few of those pairs.
+similarity of 0.8 share no band with a probability under 1e-7. 512 min-hashes, those among them, are
+folded into an odd sketch, a 2048-bit parity bitmap; the bits in which two sketches differ tell how
+many min-hashes differ. A pair is dropped where they are more than five standard deviations over
+what the least similarity makes them (a probability under 1e-6 at 0.8; at 0.7 nearly all go). Sets
+of up to FULL shingles have a second odd sketch, into which every shingle is folded: its differing
+bits never outnumber the differing shingles, so it drops pairs by an exact bound, sharp to one or
+two hundredths. What is left is confirmed on the full sets.
+
+No bucket is turned into all of its pairs. Each class is first compared with its buckets' hub, the
+class that meets most others over all of its buckets: in a group of copies that were edited apart,
+the text that they stem from. Components of the confirmed links follow. A bucket whose classes all
+lie in one component is done. In the others every class outside the bucket's main component meets
+one of that component, a few times over, and what is then still apart is compared, sketch by sketch
+inside the join, with the classes of other components, so that no link between components is lost,
+whatever the bucket's size. Only pairs that both sketches leave come out of that join.
 Buckets, pairs and components stay distributed; skewed joins are split at run time.
 
 Defined results: null and word-less texts have n_shingles 0 and a component of their own; a null
@@ -34,10 +38,12 @@ from pyspark.sql import functions as F
 
 from ._common import checkpoint, partitions, table
 
-PERMUTATIONS, BANDS = 128, 32
-SKETCH_WORDS = 16  # of 64 bits
-SKETCH_LIMIT = 128  # differing bits
+BANDED, BANDS = 128, 32
+PERMUTATIONS = 512
+SKETCH_WORDS = 32  # of 64 bits
 SHARE = 80  # least similarity in hundredths
+DEVIATIONS = 5  # of the differing bits at the least similarity, allowed for beyond their mean
+FULL, FULL_WORDS = 1024, 16
 TURNS = 2
 TASK_EDGES = 500_000
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -68,8 +74,8 @@ def min_hashes(x: np.ndarray, count: int = PERMUTATIONS) -> np.ndarray:
     low, high = (x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)
     factors = (np.random.default_rng(7).integers(0, 1 << 31, count, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
     out = np.full(count, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        np.minimum(out, (low[i : i + 1024, None] * factors + high[i : i + 1024, None]).min(0), out=out)
+    for i in range(0, len(x), 256):
+        np.minimum(out, (low[i : i + 256, None] * factors + high[i : i + 256, None]).min(0), out=out)
     return out
 
 
@@ -92,31 +98,54 @@ def odd_sketches(m: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<i8").reshape(len(m), words)
 
 
+def full_sketch(x: np.ndarray, words: int = FULL_WORDS) -> np.ndarray | None:
+    """The odd sketch of a whole set; None for one of more than FULL shingles."""
+    if len(x) > FULL:
+        return None
+    odd = np.bincount((x & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def sketch_limit(share: int = SHARE, count: int = PERMUTATIONS, bits: int = SKETCH_WORDS * 64) -> int:
+    """The most differing bits that a pair of the similarity may be taken to have: each of some
+    count * (1 - similarity) differing min-hashes, a binomial number, flips two bits at random."""
+    s = share / 100
+    kept = (1 - 2 / bits) ** (2 * count * (1 - s))  # 1 less twice the chance that a bit differs
+    by_samples = bits * -np.log1p(-2 / bits) * kept * np.sqrt(count * s * (1 - s))
+    by_folding = np.sqrt(bits * (1 - kept**2) / 4)
+    return int(bits / 2 * (1 - kept) + DEVIATIONS * np.hypot(by_samples, by_folding)) + 1
+
+
+SKETCH_LIMIT = sketch_limit()
+
+
 def estimate(differing: int, count: int = PERMUTATIONS, bits: int = SKETCH_WORDS * 64) -> float:
     """The similarity that so many differing sketch bits stand for."""
     return 1 + bits / (4 * count) * np.log(max(1 - 2 * differing / bits, 1e-9))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, key, bands, sketch): key stands for the set, 16 bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    """(doc_id, text_hash, n_shingles, key, bands, sketch, whole): key stands for the set, 16 bytes;
+    whole: its full sketch or null."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary())] + [(c, pa.list_(pa.int64())) for c in ("bands", "sketch", "whole")])
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                counts, keys, mins = [], [], []
+                counts, keys, mins, wholes = [], [], [], []
                 for text in batch.column(1):
                     x = shingle_set(text.as_py(), k)
                     counts.append(len(x))
                     keys.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                     mins.append(min_hashes(x))
+                    wholes.append(full_sketch(x))
                 m = np.array(mins)
-                lists = [pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), pa.array(v.ravel())) for v in (band_keys(m), odd_sketches(m))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *lists], schema=schema)
+                lists = [pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), pa.array(v.ravel())) for v in (band_keys(m[:, :BANDED]), odd_sketches(m))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *lists, pa.array(wholes, pa.list_(pa.int64()))], schema=schema)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>, sketch array<long>")
+    return slim.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, key binary, bands array<long>, sketch array<long>, whole array<long>")
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -177,8 +206,17 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _differing(a: str, b: str, words: int = SKETCH_WORDS):
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(words)])
+def _differing(a: str, b: str, words: int):
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)])
+
+
+def hopeful(a: str, b: str, share: int = SHARE):
+    """Whether the sketches of two classes leave the similarity possible; a, b: prefixes of their
+    columns n, sketch and whole. Sizes and full sketches are exact bounds."""
+    n, m = F.col(a + "n"), F.col(b + "n")
+    sizes = 100 * F.least(n, m) >= share * F.greatest(n, m)
+    exact = (100 + share) * _differing(a + "whole", b + "whole", FULL_WORDS) <= (100 - share) * (n + m)
+    return sizes & F.coalesce(exact, F.lit(True)) & (_differing(a + "sketch", b + "sketch", SKETCH_WORDS) <= sketch_limit(share))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
@@ -189,24 +227,13 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
     return counted.where(100 * F.col("i") >= share * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def crossing_pairs(rest: DataFrame, sketches: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
-    """Pairs (a, b) in one bucket but different components that may be similar.
-
-    A shingle that no other class here has can't be in an intersection. So a pair with a set of n
-    shingles, u of them its own, has at most n - u in common, and at 0.8 needs 4/9 of both sizes: an
-    exact bound that leaves out most classes which are alike but not alike enough.
-    """
-    owned = sets.select("cid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("cid").alias("cid"))
-    owned = owned.where("n = 1").groupBy("cid").agg(F.count("*").alias("own"))
-    sizes = sets.select("cid", F.size("shingles").alias("n")).join(owned, "cid", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-    hopeful = sizes.where(100 * F.col("most") >= share * F.col("n")).select("cid", "n", "most")
-    x = checkpoint(rest.join(hopeful, "cid").join(sketches, "cid"))
+def crossing_pairs(rest: DataFrame, sketches: DataFrame, share: int = SHARE) -> DataFrame:
+    """Pairs (a, b) in one bucket but different components that the sketches leave possible."""
+    x = checkpoint(rest.join(sketches, "cid"))
     l, r = x.where("root <> main").alias("l"), x.alias("r")
     crossing = (
         (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.root") != F.col("r.root"))
-        & ((F.col("r.root") == F.col("r.main")) | (F.col("l.cid") < F.col("r.cid")))
-        & ((100 + share) * F.least("l.most", "r.most") >= share * (F.col("l.n") + F.col("r.n")))
-        & (_differing("l", "r") <= SKETCH_LIMIT)
+        & ((F.col("r.root") == F.col("r.main")) | (F.col("l.cid") < F.col("r.cid"))) & hopeful("l.", "r.", share)
     )
     return l.join(r, crossing).select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
 
@@ -215,19 +242,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = SHARE) -> DataFram
     """(doc_id, text_hash, n_shingles, key, root, component_id, kept) for every row; root: the component's number."""
     signed = checkpoint(signatures(docs, k))
     classes = signed.where("n_shingles > 0").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sketch", "whole")], F.first("n_shingles").alias("n")
     )
     classes = checkpoint(classes.withColumn("cid", F.monotonically_increasing_id()))
     buckets = classes.select("cid", F.explode("bands").alias("bucket"))
-    pivots = buckets.groupBy("bucket").agg(F.min("cid").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = checkpoint(buckets.join(pivots, "bucket"))
-    sketches = classes.select("cid", "sketch")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = checkpoint(buckets.join(shared, "bucket"))
+    met = met.join(met.groupBy("cid").agg(F.sum("n").alias("meets")), "cid")
+    pivots = met.groupBy("bucket").agg(F.max_by("cid", F.struct("meets", -F.col("cid"))).alias("pivot"))
+    members = checkpoint(met.select("bucket", "cid").join(pivots, "bucket"))
+    sketches = classes.select("cid", "n", "sketch", "whole")
 
     def sketched(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sketches.withColumnRenamed("cid", "b").withColumnRenamed("sketch", "sb"), "b")
-        x = x.join(sketches.withColumnRenamed("cid", "a").withColumnRenamed("sketch", "sa"), "a")
-        x = x.select("a", "b", F.struct(F.col("sa").alias("sketch")).alias("l"), F.struct(F.col("sb").alias("sketch")).alias("r"))
-        return x.where(_differing("l", "r") <= SKETCH_LIMIT).select("a", "b")
+        of = lambda side: sketches.select(*[F.col(c).alias(f"{side}_{c}" if c != "cid" else side) for c in sketches.columns])
+        return pairs.join(of("b"), "b").join(of("a"), "a").where(hopeful("a_", "b_", share)).select("a", "b")
 
     near = members.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
     near = checkpoint(sketched(near))
@@ -262,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = SHARE) -> DataFram
         roots = components(links)
         rest = opened(roots)
     if not rest.isEmpty():
-        late = checkpoint(crossing_pairs(rest, sketches, sets.join(rest.select("cid").distinct(), "cid", "left_semi"), share))
+        late = checkpoint(crossing_pairs(rest, sketches, share))
         more = checkpoint(confirm(late, sets, share))
         if not more.isEmpty():
             roots = components(links.unionByName(more))
