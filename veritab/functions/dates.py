@@ -2,42 +2,47 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold
-
-# Month names and abbreviations, Spanish and English.
+# Month names and abbreviations, Spanish and English, and their numbers.
 MONTHS = {
-    1: "ENE ENERO JAN JANUARY", 2: "FEB FEBRERO FEBRUARY", 3: "MAR MARZO MARCH", 4: "ABR ABRIL APR APRIL", 5: "MAY MAYO", 6: "JUN JUNIO JUNE",
-    7: "JUL JULIO JULY", 8: "AGO AGOSTO AUG AUGUST", 9: "SEP SEPTIEMBRE SETIEMBRE SEPT SEPTEMBER", 10: "OCT OCTUBRE OCTOBER", 11: "NOV NOVIEMBRE NOVEMBER",
-    12: "DIC DICIEMBRE DEC DECEMBER",
+    "ENE": 1, "ENERO": 1, "JAN": 1, "JANUARY": 1,
+    "FEB": 2, "FEBRERO": 2, "FEBRUARY": 2,
+    "MAR": 3, "MARZO": 3, "MARCH": 3,
+    "ABR": 4, "ABRIL": 4, "APR": 4, "APRIL": 4,
+    "MAY": 5, "MAYO": 5,
+    "JUN": 6, "JUNIO": 6, "JUNE": 6,
+    "JUL": 7, "JULIO": 7, "JULY": 7,
+    "AGO": 8, "AGOSTO": 8, "AUG": 8, "AUGUST": 8,
+    "SEP": 9, "SEPTIEMBRE": 9, "SETIEMBRE": 9, "SEPT": 9, "SEPTEMBER": 9,
+    "OCT": 10, "OCTUBRE": 10, "OCTOBER": 10,
+    "NOV": 11, "NOVIEMBRE": 11, "NOVEMBER": 11,
+    "DIC": 12, "DICIEMBRE": 12, "DEC": 12, "DECEMBER": 12,
 }
+#: Parts of the patterns: a year from 1990 to 2100; a month of all digits there, two at most.
+YEAR, MONTH = r"(199\d|20\d\d|2100)", r"(0[1-9]|1[0-2]|[1-9](?!\d))"
 
 
 def parse_period(c: Column) -> Column:
     """YYYYMM as an int from '2025-10-15', '15/10/2025', '10/2025', 'OCT-25' or '2025 Octubre'; else null."""
     text = F.trim(c)
-    named = F.create_map(*[F.lit(x) for x in chain.from_iterable((n, m) for m, names in MONTHS.items() for n in names.split())])
     part = lambda pattern, i: F.regexp_extract(text, pattern, i)
 
     def numeric(pattern: str, year: int, month: int) -> Column:
-        y, m = part(pattern, year).try_cast("int"), part(pattern, month).try_cast("int")
-        return F.when(y.between(1990, 2100) & m.between(1, 12), y * 100 + m)
-
-    month_of = lambda word: F.try_element_at(named, F.upper(fold(word)))
-    first, last = r"^([A-Za-z]+)[.\s/-]+(\d{2,4})$", r"^(\d{4})[.\s/-]+([A-Za-z]+)$"
-    y = part(first, 2).try_cast("int")
-    full = F.when(y < 50, 2000 + y).when(y < 100, 1900 + y).otherwise(y)
-    y4 = part(last, 1).try_cast("int")
+        return part(pattern, year).try_cast("int") * 100 + part(pattern, month).try_cast("int")
+
+    # a name before its year, of two to four digits, or after it
+    worded = rf"^(?:([A-Za-z]+)[.\s/-]+(\d{{2,4}})|{YEAR}[.\s/-]+([A-Za-z]+))$"
+    named = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+    month = F.try_element_at(named, F.upper(F.concat(part(worded, 1), part(worded, 4))))
+    year = F.concat(part(worded, 2), part(worded, 3)).try_cast("int")
+    full = F.when(year < 50, 2000 + year).when(year < 100, 1900 + year).otherwise(year)
     return F.coalesce(
-        numeric(r"^(\d{4})[-/.](\d{1,2})", 1, 2),
-        numeric(r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", 3, 2),
-        numeric(r"^(\d{1,2})[-/](\d{4})$", 2, 1),
-        full * 100 + month_of(part(first, 1)),
-        F.when(y4.between(1990, 2100), y4 * 100 + month_of(part(last, 2))),
+        numeric(rf"^{YEAR}[-/.]{MONTH}", 1, 2),
+        numeric(rf"^\d{{1,2}}[-/.]{MONTH}[-/.]{YEAR}", 2, 1),
+        numeric(rf"^{MONTH}[-/]{YEAR}$", 2, 1),
+        full * 100 + month,
     ).cast("int")
 
 

@@ -16,23 +16,16 @@ def parse_numeric(c: Column) -> Column:
     between four or more digits and exactly three.
     """
     text = F.trim(F.coalesce(c, F.lit("")))
-    bracketed = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
-    negative = bracketed | text.startswith("-")
-    body = F.when(bracketed, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(F.regexp_replace(text, "^-", ""))
-    kept = F.regexp_replace(body, "[^0-9.,eE]", "")
-    comma, dot = kept.contains(","), kept.contains(".")
-    last_is_comma = F.length(F.substring_index(kept, ",", -1)) < F.length(F.substring_index(kept, ".", -1))
-    first_as_dot = lambda x: F.regexp_replace(x, "^([^,]*),", "$1.")
-    plain = (
-        F.when(comma & dot & last_is_comma, first_as_dot(F.regexp_replace(kept, r"\.", "")))
-        .when(comma & dot, F.regexp_replace(kept, ",", ""))
-        .when(kept.rlike(r"^[^,]{4,},[^,]{3}$"), F.regexp_replace(kept, ",", ""))
-        .when(comma, first_as_dot(kept))
-        .otherwise(kept)
-    )
-    number = F.when(plain.rlike(r"^(\d+\.?\d*|\.\d+)([eE]\d+)?$"), plain.try_cast("double"))
-    number = F.when(number < float("inf"), number).otherwise(0.0)
-    return F.when(negative & (number != 0), -number).otherwise(number)
+    negative = text.rlike(r"^(?s:\(.*\)|-.*)\z")
+    plain = F.regexp_replace(text, "[^0-9.,eE]", "")
+    # one step after another, so that no part of the expression stands in it twice
+    plain = F.regexp_replace(plain, "^([^,.]{4,}),([^,.]{3})$", "$1$2")
+    plain = F.regexp_replace(plain, r",(?=.*\.[^,]*$)", "")  # a dot is the last separator
+    plain = F.regexp_replace(plain, r"\.(?=.*,[^.]*$)", "")  # a comma is
+    plain = F.regexp_replace(plain, "^([^,]*),", "$1.")
+    number = F.regexp_extract(plain, r"^(\d+\.?\d*|\.\d+)([eE]\d+)?$", 0).try_cast("double")
+    number = F.coalesce(F.when(number < float("inf"), number), F.lit(0.0))
+    return number * F.when(negative, -1.0).otherwise(1.0) + 0.0  # no negative zero
 
 
 def pct1(part: Column, whole: Column) -> Column:

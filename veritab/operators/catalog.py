@@ -8,11 +8,13 @@ method, active, pos) and (variant, region, active, pos); cities: (city, region,
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alias_key, distinctive_code, normalize_id, normalize_text
+from ..plans.stages import cut
 
 
 @dataclass
@@ -31,6 +33,7 @@ class Config:
     assign: int = 92
     suggest: int = 80
     catch_all: str = "OTROS"
+    prepared: Indexes | None = field(default=None, repr=False, compare=False)
 
 
 def check_thresholds(assign: float, suggest: float) -> tuple[int, int]:
@@ -44,36 +47,92 @@ def _one(df: DataFrame, *order) -> DataFrame:
     return df.where("key <> ''").withColumn("_n", F.row_number().over(lane)).where("_n = 1").drop("_n")
 
 
+def _entries(df: DataFrame, kind: str, key: str, a: Column, b: Column | None = None, last: bool = False) -> DataFrame:
+    """Catalog rows in one form: kind, key (normal), values a and b, pos, and turn, whose least counts."""
+    b = F.lit(None).cast("string") if b is None else b
+    return df.select(F.lit(kind).alias("kind"), normalize_text(F.col(key)).alias("key"), a.alias("a"), b.alias("b"), "pos", (-F.col("pos") if last else F.col("pos")).alias("turn"))
+
+
+def _firsts(entries: DataFrame) -> DataFrame:
+    found = entries.where("key <> ''").groupBy("kind", "key").agg(F.min_by(F.struct("a", "b", "pos"), F.struct("turn", "a", "b")).alias("f"))
+    return found.select("kind", "key", "f.a", "f.b", "f.pos")
+
+
+def _category_entries(dictionary: DataFrame) -> DataFrame:
+    return _entries(dictionary.where("active"), "category", "variant", F.col("category"), F.col("category_group"))
+
+
+def _variant_entries(dictionary: DataFrame) -> DataFrame:
+    return _entries(dictionary.where("active"), "variant", "variant", normalize_text(F.col("region"))).where("a <> ''")
+
+
+def _region_entries(regions: DataFrame) -> DataFrame:
+    return _entries(regions, "region", "region", normalize_text(F.col("region")))
+
+
+def _city_entries(cities: DataFrame) -> DataFrame:
+    rows = cities.where("active") if "active" in cities.columns else cities
+    return _entries(rows, "city", "city", normalize_text(F.col("region")), last=True)
+
+
+def _as_categories(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'category'").select("key", F.col("a").alias("category"), F.col("b").alias("category_group"), "pos")
+
+
+def _as_variants(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'variant'").select("key", F.col("a").alias("region"), "pos")
+
+
+def _as_regions(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'region'").select("key", "pos")
+
+
+def _as_cities(found: DataFrame) -> DataFrame:
+    return found.where("kind = 'city'").select("key", F.col("a").alias("region"))
+
+
 def category_index(dictionary: DataFrame) -> DataFrame:
     """(key, category, category_group, pos): the first active entry of each normal form."""
-    keyed = dictionary.where("active").withColumn("key", normalize_text(F.col("variant")))
-    return _one(keyed, "pos").select("key", "category", "category_group", "pos")
+    return _as_categories(_firsts(_category_entries(dictionary)))
 
 
 def region_index(dictionary: DataFrame) -> DataFrame:
-    keyed = dictionary.where("active").select(normalize_text(F.col("variant")).alias("key"), normalize_text(F.col("region")).alias("region"), "pos")
-    return _one(keyed.where("region <> ''"), "pos").select("key", "region", "pos")
+    """(key, region, pos): the first active entry of each normal form that has a region."""
+    return _as_variants(_firsts(_variant_entries(dictionary)))
 
 
 def region_catalog(regions: DataFrame) -> DataFrame:
-    return _one(regions.select(normalize_text(F.col("region")).alias("key"), "pos"), "pos")
+    """(key, pos) of the regions' normal forms."""
+    return _as_regions(_firsts(_region_entries(regions)))
 
 
 def city_index(cities: DataFrame) -> DataFrame:
-    """(key, region): the last entry of each normal form."""
-    keyed = cities.select(normalize_text(F.col("city")).alias("key"), normalize_text(F.col("region")).alias("region"), "pos")
-    return _one(keyed, F.desc("pos")).select("key", "region")
+    """(key, region): the last active entry of each normal form."""
+    return _as_cities(_firsts(_city_entries(cities)))
+
+
+@dataclass
+class Indexes:
+    """The indexes of a configuration, made once a run: one table, computed by one job."""
+
+    categories: DataFrame
+    variants: DataFrame
+    regions: DataFrame
+    cities: DataFrame
 
 
-def master_index(master: DataFrame, order: str | None = None) -> DataFrame:
-    """The last entry of each normal id."""
-    keyed = master.withColumn("key", normalize_id(F.col("entity_id")))
-    return _one(keyed, F.desc(order)) if order else keyed.where("key <> ''").dropDuplicates(["key"])
+def indexes(config: Config) -> Indexes:
+    if config.prepared is None:
+        parts = [_category_entries(config.category_dict), _variant_entries(config.region_dict), _region_entries(config.regions), _city_entries(config.cities)]
+        found = cut(_firsts(reduce(DataFrame.unionByName, parts)))
+        config.prepared = Indexes(_as_categories(found), _as_variants(found), _as_regions(found), _as_cities(found))
+    return config.prepared
 
 
 def alias_indexes(aliases: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Active aliases by (source, code), and by a code alone that means one entity in all sources."""
-    known = region_catalog(regions).select(F.col("key").alias("_region"))
+    """Active aliases by (source, code), and by a code alone that means one entity in all sources.
+    regions: the catalog's keys."""
+    known = regions.select(F.col("key").alias("_region"))
     a = aliases.where("active").select(
         alias_key(F.col("source"), F.col("client_code")).alias("key"), normalize_text(F.col("client_code")).alias("code"),
         normalize_id(F.col("entity_id")).alias("alias_entity"), F.col("client_name").alias("alias_name"), normalize_text(F.col("region")).alias("_region"), "pos",

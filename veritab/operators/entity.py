@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_period
 from ..functions.numeric import guard_measure, parse_numeric
 from ..functions.text import alias_key, normalize_id, normalize_text
-from .catalog import Config, alias_indexes, region_catalog
+from .catalog import Config, alias_indexes, indexes
 from .resolve import NO_SOURCE, row_flag
 
 #: The period of what people classified by hand: later than any.
@@ -32,7 +32,7 @@ def with_entity(rows: DataFrame, config: Config, blank_source: bool = True) -> D
 
     Without blank_source, rows without a source don't use the (source, code) tier.
     """
-    exact, by_code = alias_indexes(config.aliases, config.regions)
+    exact, by_code = alias_indexes(config.aliases, indexes(config).regions)
     lacks = (normalize_id(F.col("entity_raw")) == "") & (F.col("client_code") != "")
     source = F.col("source") if blank_source else F.when(F.col("source") != NO_SOURCE, F.col("source"))
     rows = rows.withColumns({"_ek": F.when(lacks, alias_key(source, F.col("client_code"))), "_ck": F.when(lacks, normalize_text(F.col("client_code")))})
@@ -91,8 +91,7 @@ def build_master(obs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame,
     obs = obs.withColumn("entity_key", normalize_id(F.col("entity_id"))).where((F.col("entity_key") != "") & (told | placed))
     base = obs.groupBy("entity_key").agg(F.min_by("entity_id", "row_id").alias("entity_id"), first_seen("name").alias("client_name"), F.count("*").alias("rows"))
     regions = obs.where(placed).groupBy("entity_key", "region").agg(F.count("*").alias("n"))
-    usual = regions.groupBy("entity_key").agg(F.max_by("region", F.struct("n")).alias("_any"), F.max("n").alias("n"))
-    usual = regions.join(usual.select("entity_key", "n"), ["entity_key", "n"]).groupBy("entity_key").agg(F.min("region").alias("region"))
+    usual = regions.groupBy("entity_key").agg(F.min_by("region", F.struct(-F.col("n"), "region")).alias("region"))
     branches = obs.where(placed).groupBy("entity_key", "branch", "region", "city").agg(F.count("*").alias("branch_rows"))
 
     cats = obs.where(told).groupBy("entity_key", "category").agg(
@@ -125,7 +124,7 @@ def branch_lists(branches: DataFrame) -> DataFrame:
 
 def seed_regions(config: Config) -> DataFrame:
     """(entity_key, region) known before any row: by hand, else by alias (the last of each)."""
-    catalog = region_catalog(config.regions).select(F.col("key").alias("region"))
+    catalog = indexes(config).regions.select(F.col("key").alias("region"))
     told = config.aliases.where("active").select(normalize_id(F.col("entity_id")).alias("entity_key"), normalize_text(F.col("region")).alias("region"), F.lit(0).alias("_by"), "pos")
     hand = config.manual.select(normalize_id(F.col("entity_id")).alias("entity_key"), normalize_text(F.col("region")).alias("region"), F.lit(1).alias("_by"), F.lit(0).alias("pos"))
     both = told.unionByName(hand, allowMissingColumns=True).where("entity_key <> ''").join(catalog, "region", "left_semi")

@@ -8,31 +8,42 @@ period_raw, measure_raw; nulls read as ''.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import explicit_region, geo_text, phrase_region
 from ..functions.text import clean_region, is_no_city, is_no_region, normalize_text
 from ..plans.stages import cut, keep
-from .catalog import Config, category_index, city_index, region_catalog, region_index
+from .catalog import Config, indexes
 from .fuzzy import best_match
 
 NO_SOURCE = "SIN_DISTRIBUIDOR"
 
 
+@dataclass
+class Texts:
+    """What the texts of some rows resolve to, whoever their entities are."""
+
+    rows: DataFrame  # kept, with category_key, region_text and city_key
+    categories: DataFrame  # by category_key
+    places: DataFrame  # by region_text and city_key
+
+
 def category_by_text(keys: DataFrame, config: Config) -> DataFrame:
     """(category_key, category, category_group, category_method, category_score, suggested_category,
     suggested_category_score) for distinct keys: exact, then fuzzy, then a suggestion."""
-    index = category_index(config.category_dict)
+    index = indexes(config).categories
     exact = index.select(F.col("key").alias("category_key"), F.col("category").alias("_c"), F.col("category_group").alias("_g"))
-    asked = keys.where("category_key <> ''")
-    open_ = asked.join(index.select(F.col("key").alias("category_key")), "category_key", "left_anti")
-    near = best_match(open_.select(F.col("category_key").alias("key")), index.select(F.col("key").alias("candidate"), "pos"), config.suggest)
+    asked = keys.where("category_key <> ''").join(exact, "category_key", "left")
+    candidates = index.select(F.col("key").alias("candidate"), "pos")
+    near = best_match(asked.where("_c is null").select(F.col("category_key").alias("key")), candidates, config.suggest)
     named = index.select(F.col("key").alias("candidate"), F.col("category").alias("_fc"), F.col("category_group").alias("_fg"))
     near = near.join(named, "candidate").select(F.col("key").alias("category_key"), "_fc", "_fg", "score")
     taken = F.col("score") >= config.assign
     hinted = F.col("score") < config.assign
-    return asked.join(exact, "category_key", "left").join(near, "category_key", "left").select(
+    return asked.join(near, "category_key", "left").select(
         "category_key",
         F.when(F.col("_c").isNotNull(), F.col("_c")).when(taken, F.col("_fc")).alias("category"),
         F.when(F.col("_c").isNotNull(), F.col("_g")).when(taken, F.col("_fg")).alias("category_group"),
@@ -47,11 +58,11 @@ def category_by_text(keys: DataFrame, config: Config) -> DataFrame:
 def parse_geo(texts: DataFrame, config: Config, col: str = "text") -> DataFrame:
     """(text, region) of distinct geo_texts: a declared region, else a known phrase's."""
     named = texts.select(col).distinct().where(F.length(col) >= 3)
-    told = cut(named.withColumn("_told", explicit_region(F.col(col), config.explicit)))
-    phrases = phrase_region(told.where("_told is null").select(col), config.phrases, col).withColumnRenamed("region", "_phrase")
-    both = told.join(phrases, col, "left").select(col, normalize_text(F.coalesce("_told", "_phrase")).alias("region"))
-    catalog = region_catalog(config.regions).select(F.col("key").alias("region"))
-    return both.join(catalog, "region", "left_semi").select(col, "region")
+    phrases = phrase_region(named, config.phrases, col).withColumnRenamed("region", "_phrase")
+    told = F.coalesce(explicit_region(F.col(col), config.explicit), "_phrase")
+    both = named.join(phrases, col, "left").select(col, normalize_text(told).alias("region"))
+    known = indexes(config).regions.select(F.col("key").alias("region"))
+    return both.join(known, "region", "left_semi").select(col, "region")
 
 
 def region_by_text(keys: DataFrame, config: Config) -> DataFrame:
@@ -61,10 +72,11 @@ def region_by_text(keys: DataFrame, config: Config) -> DataFrame:
 
     region_text: the normal form of the raw region.
     """
+    by = indexes(config)
+    catalog, index = by.regions, by.variants
     regions = keys.select("region_text").distinct().withColumn("clean", clean_region(F.col("region_text")))
     usable = (F.col("clean") != "") & ~is_no_region(F.col("clean")) & ~is_no_region(F.col("region_text"))
-    regions = cut(regions.withColumn("usable", usable))
-    catalog, index = region_catalog(config.regions), region_index(config.region_dict)
+    regions = regions.withColumn("usable", usable)
     known = catalog.select(F.col("key").alias("clean"), F.col("key").alias("_exact"))
     by_raw = index.select(F.col("key").alias("region_text"), F.col("region").alias("_raw"))
     by_clean = index.select(F.col("key").alias("clean"), F.col("region").alias("_clean"))
@@ -74,11 +86,17 @@ def region_by_text(keys: DataFrame, config: Config) -> DataFrame:
         "region_text", "clean", "usable",
         F.when(F.col("usable"), F.coalesce("_exact", told)).alias("strong_region"),
         F.when(F.col("usable") & F.col("_exact").isNotNull(), "EXACTO").when(F.col("usable") & told.isNotNull(), "DICCIONARIO").alias("strong_method"),
+        F.when(~is_no_region(F.col("region_text")), geo_text(F.col("region_text"))).alias("text"),
     )
-    regions = cut(regions)
-    addressed = regions.withColumn("text", F.when(~is_no_region(F.col("region_text")), geo_text(F.col("region_text"))))
-    geo = parse_geo(addressed.where("strong_region is null"), config)
-    regions = cut(addressed.join(geo.withColumnRenamed("region", "_geo"), "text", "left").drop("text"))
+    cities = keys.select("city_key").distinct().where((F.col("city_key") != "") & ~is_no_city(F.col("city_key")))
+    cities = cities.join(by.cities.select(F.col("key").alias("city_key"), F.col("region").alias("_city")), "city_key", "left")
+    cities = cities.withColumn("text", geo_text(F.col("city_key")))
+    # both kinds of texts, each once, that nothing better has resolved
+    open_ = regions.where("strong_region is null").select("text").unionByName(cities.where("_city is null").select("text"))
+    geo = cut(parse_geo(open_, config))
+
+    found = geo.select("text", F.col("region").alias("_found"))
+    regions = regions.join(found, "text", "left").withColumn("_geo", F.when(F.col("strong_region").isNull(), F.col("_found"))).drop("text", "_found")
     # the catalog's keys come before the dictionary's among equal scores
     first = catalog.select(F.col("key").alias("candidate"), F.col("key").alias("to"), F.col("pos").cast("double").alias("pos"))
     top = catalog.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("_top"))
@@ -87,12 +105,7 @@ def region_by_text(keys: DataFrame, config: Config) -> DataFrame:
     open_ = regions.where("usable and strong_region is null and _geo is null").select(F.col("clean").alias("key")).distinct()
     near = best_match(open_, candidates, config.suggest).join(candidates.select("candidate", "to"), "candidate")
     regions = regions.join(near.select(F.col("key").alias("clean"), "to", "score"), "clean", "left")
-
-    cities = keys.select("city_key").distinct().where((F.col("city_key") != "") & ~is_no_city(F.col("city_key")))
-    cities = cities.join(city_index(config.cities).select(F.col("key").alias("city_key"), F.col("region").alias("_city")), "city_key", "left")
-    cities = cut(cities.withColumn("text", geo_text(F.col("city_key"))))
-    located = parse_geo(cities.where("_city is null"), config)
-    cities = cities.join(located, "text", "left").select("city_key", F.coalesce("_city", "region").alias("_city"))
+    cities = cities.join(found, "text", "left").select("city_key", F.coalesce("_city", "_found").alias("_city"))
 
     taken = F.col("usable") & (F.col("score") >= config.assign)
     hinted = F.col("usable") & (F.col("score") < config.assign) & F.col("_city").isNull() & F.col("_geo").isNull() & F.col("strong_region").isNull()
@@ -106,19 +119,32 @@ def region_by_text(keys: DataFrame, config: Config) -> DataFrame:
     )
 
 
+def resolve_texts(rows: DataFrame, config: Config) -> Texts:
+    """The texts of the rows, resolved once for all passes that read them: the distinct keys of both
+    kinds come out of one pass over the rows."""
+    rows = keep(rows.withColumns({
+        "category_key": normalize_text(F.col("category_raw")), "region_text": normalize_text(F.col("region_raw")), "city_key": normalize_text(F.col("city_raw")),
+    }))
+    place = F.struct(F.lit(None).cast("string").alias("category_key"), "region_text", "city_key")
+    category = F.struct("category_key", F.lit(None).cast("string").alias("region_text"), F.lit(None).cast("string").alias("city_key"))
+    keys = cut(rows.select(F.inline(F.array(category, place))).distinct())
+    categories = category_by_text(keys.where("category_key is not null").select("category_key"), config)
+    places = region_by_text(keys.where("region_text is not null").select("region_text", "city_key"), config)
+    return Texts(rows, cut(categories), cut(places))
+
+
 def resolve(rows: DataFrame, config: Config, master: DataFrame | None = None, known_regions: DataFrame | None = None) -> DataFrame:
-    """rows, which need entity_key, with the resolved fields.
+    """rows, which need entity_key, with the resolved fields."""
+    return with_texts(resolve_texts(rows, config), master, known_regions)
+
+
+def with_texts(texts: Texts, master: DataFrame | None = None, known_regions: DataFrame | None = None) -> DataFrame:
+    """The rows with the resolved fields.
 
     master: (entity_key, category, category_group) of known entities, which go before the text;
     known_regions: (entity_key, region), which go between the strong and the weak region.
     """
-    rows = rows.withColumns({
-        "category_key": normalize_text(F.col("category_raw")), "region_text": normalize_text(F.col("region_raw")), "city_key": normalize_text(F.col("city_raw")),
-    })
-    rows = keep(rows)
-    categories = cut(category_by_text(cut(rows.select("category_key").distinct()), config))
-    places = cut(region_by_text(cut(rows.select("region_text", "city_key").distinct()), config))
-    out = rows.join(categories, "category_key", "left").join(places, ["region_text", "city_key"], "left")
+    out = texts.rows.join(texts.categories, "category_key", "left").join(texts.places, ["region_text", "city_key"], "left")
     if master is not None:
         carried = master.where("coalesce(trim(category), '') <> '' or coalesce(trim(category_group), '') <> ''")
         m = carried.select("entity_key", F.col("category").alias("_mc"), F.col("category_group").alias("_mg"), F.lit(True).alias("_known"))

@@ -161,7 +161,7 @@ def alias_exact(spark, d):
 @query
 def alias_code_unique(spark, d):
     config = sellout.config(spark, d)
-    return catalog.alias_indexes(config.aliases, config.regions)[1].select("key", "alias_entity", "alias_region")
+    return catalog.alias_indexes(config.aliases, catalog.region_catalog(config.regions))[1].select("key", "alias_entity", "alias_region")
 
 
 @query

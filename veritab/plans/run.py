@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_text
 from ..operators import entity, quality
 from ..operators.catalog import Config
-from ..operators.resolve import resolve
+from ..operators.resolve import Texts, resolve, resolve_texts, with_texts
 from .stages import keep
 
 # The columns that an export appends, in their order.
@@ -74,19 +74,18 @@ def pipeline(rows: DataFrame, config: Config) -> Run:
     return Run(resolved, master, conflicts, branches, quality.category_recovery(resolved, master), quality.region_recovery(resolved, master))
 
 
-def export_master(rows: DataFrame, config: Config) -> DataFrame:
+def export_master(texts: Texts, config: Config) -> DataFrame:
     """The first pass of an export: the master, with regions known by hand or alias in the cascade."""
-    named = entity.with_entity(entity.with_fields(rows), config, blank_source=False)
-    first = resolve(named, config, known_regions=entity.seed_regions(config))
-    return keep(entity.build_master(entity.observations(keep(first), config), config)[0])
+    first = with_texts(texts, known_regions=entity.seed_regions(config))
+    return keep(entity.build_master(entity.observations(first, config), config)[0])
 
 
 def export(rows: DataFrame, config: Config, originals: list[str], dictionary_version: str = "v1", run_id: str = "run-0") -> DataFrame:
     """The original columns and the OUTPUT ones, '' for nulls; categories and regions by the master first."""
-    master = export_master(rows, config)
-    named = entity.with_entity(entity.with_fields(rows), config, blank_source=False)
+    texts = resolve_texts(entity.with_entity(entity.with_fields(rows), config, blank_source=False), config)
+    master = export_master(texts, config)
     regions = entity.overlay_regions(master, entity.seed_regions(config))
-    out = resolve(named, config, master.select("entity_key", "category", "category_group"), regions)
+    out = with_texts(texts, master.select("entity_key", "category", "category_group"), regions)
     values = ["category", "category_group", "category_method", "category_confidence", "region", "region_method", "row_flag", "category_raw", "region_raw"]
     said = [F.coalesce(F.col(v), F.lit("")).alias(o) for v, o in zip(values, OUTPUT)]
     return out.select("row_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in originals], *said, F.lit(dictionary_version).alias(OUTPUT[9]), F.lit(run_id).alias(OUTPUT[10]))
