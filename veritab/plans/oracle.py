@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
-from ..functions.dates import MONTHS
-from ..functions.text import NO_CATEGORY, NO_CITY, NO_REGION
-from ..sources.csv import FOOTER_CELL, FOOTER_START
 from . import sellout
-from .run import OUTPUT
 
+# Fixed values, stated here a second time: a wrong one in the engine must show.
+MONTHS = {
+    "ENE": 1, "ENERO": 1, "JAN": 1, "JANUARY": 1,
+    "FEB": 2, "FEBRERO": 2, "FEBRUARY": 2,
+    "MAR": 3, "MARZO": 3, "MARCH": 3,
+    "ABR": 4, "ABRIL": 4, "APR": 4, "APRIL": 4,
+    "MAY": 5, "MAYO": 5,
+    "JUN": 6, "JUNIO": 6, "JUNE": 6,
+    "JUL": 7, "JULIO": 7, "JULY": 7,
+    "AGO": 8, "AGOSTO": 8, "AUG": 8, "AUGUST": 8,
+    "SEP": 9, "SEPTIEMBRE": 9, "SETIEMBRE": 9, "SEPT": 9, "SEPTEMBER": 9,
+    "OCT": 10, "OCTUBRE": 10, "OCTOBER": 10,
+    "NOV": 11, "NOVIEMBRE": 11, "NOVEMBER": 11,
+    "DIC": 12, "DICIEMBRE": 12, "DEC": 12, "DECEMBER": 12,
+}
+NO_REGION = [
+    "", ".", "..", "/", "0", "00", "X", "XX", "XXX", "?", "NULL", "NULO", "NONE", "NINGUNO", "NO IDENTIFICADO", "NO IDENTIFICADA",
+    "NO IDENTIFICADOS", "NO APLICA", "NO DEFINIDO", "NO DISPONIBLE", "NO REGISTRA", "NO INDICA", "N / A", "NA", "N / D", "ND", "S / I", "SI",
+    "SD", "SIN ESTADO", "SIN DEFINIR", "SIN IDENTIFICAR", "SIN INFORMACION", "SIN DATOS", "SIN DATO", "SIN ASIGNAR", "SIN CLASIFICAR",
+    "POR DEFINIR", "POR ASIGNAR", "PENDIENTE", "DESCONOCIDO", "OTRO", "OTROS", "VARIOS", "GENERICO", "VENEZUELA",
+]
+NO_CITY = [*NO_REGION, "NAN", "LOCAL", "S / N", "SN", "CIUDAD"]
+NO_CATEGORY = [
+    "", "/", ".", "0", "X", "NAN", "NULL", "NULO", "NONE", "NINGUNO", "N / A", "NA", "ND", "N / D", "#NAME?", "#N / A", "#REF!", "#VALUE!",
+    "#DIV / 0!", "#NULL!", "#NUM!", "#ERROR!", "SIN CLASIFICAR", "SIN DEFINIR", "SIN ASIGNAR", "NO IDENTIFICADO", "POR DEFINIR",
+]
+FOOTER_START = "^(TOTAL|TOTALES|TOTAL GENERAL|SUMA|SUMATORIA|SUBTOTAL|RESUMEN|PROMEDIO)"
+FOOTER_CELL = "^(TOTAL|TOTALES|TOTAL GENERAL|SUMA|SUMATORIA|SUBTOTAL|GRAND TOTAL)$"
+OUTPUT = [
+    "segmento_n3_std", "macro_canal_n1_std", "metodo_segmento", "confianza_segmento", "estado_std", "metodo_estado", "flag_registro",
+    "valor_original_segmento", "valor_original_estado", "version_diccionario", "run_id",
+]
 TITLES = r"(?:ESTADOS?|EDOS?)\s*(?:DEL?\s+)?"
 
 
@@ -68,7 +96,7 @@ def r4(x: str, name: str | None = None) -> str:
     return f"floor(({x}) * 10000 + 0.5) / 10000 as {name or x}"
 
 
-_MONTH = lambda w: "case " + " ".join(f"when {among(f'upper({w})', names.split())} then {m}" for m, names in MONTHS.items()) + " end"
+_MONTH = lambda w: f"case upper({w}) " + " ".join(f"when '{name}' then {m}" for name, m in MONTHS.items()) + " end"
 
 
 def period(x: str) -> str:
