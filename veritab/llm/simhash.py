@@ -37,18 +37,15 @@ def words_of(text: Column) -> Column:
     return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
-def terms(words: str, shingle: int = SHINGLE) -> Column:
-    """The array of word n-grams, as structs of words; of fewer words, the one of them all."""
-    n = F.greatest(F.size(words) - (shingle - 1), F.lit(1))
-    return F.arrays_zip(*[F.slice(words, i + 1, n).alias(f"w{i}") for i in range(shingle)])
-
-
 def fingerprints(texts: DataFrame, keys: list[str], text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """(keys, _copies, fp) for each distinct combination of the keys, which must determine the text."""
+    """(keys, _copies, fp) for each distinct combination of the keys, which must determine the text.
+
+    A term is hashed from its words where it starts, so a text's words are held, not its terms.
+    """
     each = texts.select(*keys, once(words_of(F.col(text_col))).alias("_words"))
-    each = each.select(*keys, once(terms("_words", shingle)).alias("_terms"))
-    each = each.select(*keys, F.size("_terms").alias("_n"), F.inline("_terms").alias(*[f"w{i}" for i in range(shingle)]))
-    each = each.select(*keys, "_n", F.xxhash64(*[f"w{i}" for i in range(shingle)]).alias("_term"))
+    each = each.withColumn("_n", F.greatest(F.size("_words") - (shingle - 1), F.lit(1)))
+    each = each.select(*keys, "_n", "_words", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    each = each.select(*keys, "_n", F.xxhash64(*[F.get("_words", F.col("_i") + i) for i in range(shingle)]).alias("_term"))
     votes = [F.sum(F.shiftrightunsigned("_term", i).bitwiseAND(F.lit(PAIRED))).alias(f"v{i}") for i in range(32)]
     summed = each.groupBy(*keys, "_n").agg(F.count("*").alias("_count"), *votes)
 
