@@ -63,14 +63,14 @@ def test_clean_region(spark):
 
 
 def test_headers():
-    names = ["  # NRO_DOCUMENTO_CLIENTE  ", "CATEGORÍA DE CLIENTE / SUB-CANAL", "EDO. DESTINO", "MUNICIPIO / LOCALIDAD", "NOMBRE DISTRIBUIDOR", "RAZÓN SOCIAL CLIENTE", "FECHA EMISIÓN", "VOLUMEN (TONELADAS)"]
+    names = ["Nro. RIF", "Sub-Canal", "Edo", "Parroquia", "Mayorista", "Nombre del cliente", "Periodo", "Peso neto"]
     got = headers.evaluate(names).roles
     assert [got[r] for r in ("entity_raw", "category_raw", "region_raw", "city_raw", "source", "client_name", "period_raw", "measure_raw")] == names
-    rows = [["EMPRESA X", "RIF: J-1"], [], ["COD_DIST", "DISTRIBUIDOR", "RIF_CLIENTE", "NOMBRE_COMERCIAL", "TIPO_NEGOCIO", "ESTADO_ENTREGA", "CIUDAD_DESTINO", "MES_VENTA", "TOTAL_TON"]]
+    rows = [["Informe de ventas", "2024"], [], ["", "x"], ["cod_cliente", "rif", "giro", "provincia", "sector", "dist", "tons"], ["C1", "J-1", "Bodega", "Lara", "Este", "D", "2"]]
     found = headers.find(rows)
-    assert found.row == 2 and found.roles["source"] == "DISTRIBUIDOR" and headers.is_data_sheet(found.roles)
+    assert found.row == 3 and found.roles["source"] == "dist" and found.roles["client_code"] == "cod_cliente" and headers.is_data_sheet(found.roles)
     assert headers.find([["a", "b"]]) is None
-    assert headers.core_roles(["Estado del pedido", "Distinct Count of RIF"])[0] == {}
+    assert headers.core_roles(["ESTATUS FACTURA", "Count of RIF"])[0] == {}
 
 
 SHEET = [["Letterhead"], [], ["DISTRIBUIDOR", "RIF", "CLIENTE", "Tipo de Tienda", "Estado", "TON"], ["D1", "J-1", "Ána", "BUILDING CLIENTS", "X", "1,5"], ["D1", "J-2", 'say "hi", ok', "Otros", "", "007"], ["", "TOTAL GENERAL", "", "", "", "9"], ["", "", "", "", "", ""]]
@@ -90,6 +90,61 @@ def test_csv(spark, tmp_path):
         csv.read(spark, str(tmp_path / "b.csv"))
 
 
+def test_csv_folder(spark, tmp_path):
+    """Every file's letterhead and header go; quoted line breaks and files of plain lines."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Carta\nRIF,CLIENTE,Estado\nJ-1,Uno,Lara\n")
+    (folder / "b.csv").write_text("RIF,CLIENTE,Estado\nJ-2,Dos,Zulia\nJ-3,Tres,Lara\n")
+    df, _ = csv.read(spark, str(folder))
+    assert [r[1:] for r in df.orderBy("row_id").collect()] == [("J-1", "Uno", "Lara"), ("J-2", "Dos", "Zulia"), ("J-3", "Tres", "Lara")]
+    (folder / "c.csv").write_text('RIF,CLIENTE,Estado\nJ-4,"Cua\ntro",Zulia\n')
+    df, _ = csv.read(spark, str(folder))
+    assert [r.CLIENTE for r in df.orderBy("row_id").collect()] == ["Uno", "Dos", "Tres", "Cua\ntro"]
+    (folder / "d.csv").write_text("x,y,z\n1,2,3\n")
+    with pytest.raises(ValueError, match="d.csv has no header"):
+        csv.read(spark, str(folder))
+    big = tmp_path / "big.csv"
+    big.write_text("RIF,CLIENTE,Estado\n" + "".join(f"J-{i},Cliente {i},Lara\n" for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df, _ = csv.read(spark, str(big))
+        assert df.rdd.getNumPartitions() > 1 and [r.RIF for r in df.orderBy("row_id").collect()] == [f"J-{i}" for i in range(20_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_three_sheets_are_read_apart(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "three.xlsx")
+    with open(path, "wb") as f:
+        xlsx.write_rows(f, ["RIF", "CLIENTE", "Estado"], iter([[f"J-{i}", f"C{i}", "Lara"] for i in range(5)]), max_rows=3)
+    assert [xlsx.read_cells(spark, path, sheet=i).count() for i in range(3)] == [3, 3, 2]
+    assert xlsx.read_cells(spark, path, limit=1).count() == 3
+    sheets = xlsx.read(spark, path)
+    assert [[r.RIF for r in df.orderBy("row_id").collect()] for df, _ in sheets] == [["J-0", "J-1"], ["J-2", "J-3"], ["J-4"]]
+    assert [df.select("RIF").rdd.getNumPartitions() for df, _ in sheets] == [1, 1, 1]
+
+
+def test_store_switch(spark, tmp_path):
+    """A reader between the steps of a write sees the old state, also after a crash before the switch."""
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    row = ("A", "Lara", True, 0)
+    s.replace("region_dict", spark.createDataFrame([row], s.tables["region_dict"][0]))
+    switch, seen = s._switch, []
+    s._switch = lambda name, version: (seen.append(s.read(name).count()), switch(name, version))
+    s.replace("region_dict", spark.createDataFrame([row, ("B", "Zulia", True, 1)], s.tables["region_dict"][0]))
+    assert seen == [1] and s.read("region_dict").count() == 2
+
+    def crash(name, version):
+        raise OSError
+
+    s._switch = crash
+    with pytest.raises(OSError):
+        s.replace("region_dict", spark.createDataFrame([], s.tables["region_dict"][0]))
+    assert s.read("region_dict").count() == 2
+
+
 def test_xlsx_round_trip(spark, tmp_path):
     path = str(tmp_path / "a.xlsx")
     with open(path, "wb") as f:

@@ -1,7 +1,8 @@
 """Tables of what was learned, as Parquet folders, with upserts by key.
 
-A write goes to a new version folder, and a marker file names the current one, so readers see the
-old or the new state.
+A write goes to a new version folder, and a small file names the current one. That file is written
+under another name and renamed over the old one in a single step, so readers see the old or the new
+state, and a crash in between leaves the old one.
 """
 
 from __future__ import annotations
@@ -50,6 +51,19 @@ class Store:
         fs, p = self._hadoop(f"{self.folder}/{name}/CURRENT")
         return self.spark.read.text(f"{self.folder}/{name}/CURRENT").first()[0] if fs.exists(p) else None
 
+    def _switch(self, name: str, version: str) -> None:
+        """Makes a version the current one."""
+        jvm = self.spark.sparkContext._jvm
+        fs, new = self._hadoop(f"{self.folder}/{name}/{version}.next")
+        out = fs.create(new, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context.rename(new, self._hadoop(f"{self.folder}/{name}/CURRENT")[1], options)
+
     def read(self, name: str) -> DataFrame:
         version = self._version(name)
         schema = self.tables[name][0]
@@ -59,7 +73,7 @@ class Store:
         version = uuid.uuid4().hex
         columns = [c.strip().split(" ")[0] for c in self.tables[name][0].split(",")]
         df.select(*columns).write.parquet(f"{self.folder}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{name}/CURRENT")
+        self._switch(name, version)
 
     def upsert(self, name: str, entries: DataFrame) -> None:
         stored = self.read(name)

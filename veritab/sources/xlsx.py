@@ -5,10 +5,11 @@ Only the standard library parses and writes the format; sheets are streamed, a r
 
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import islice
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,7 +84,11 @@ def shared_strings(book: zipfile.ZipFile) -> list[str]:
 def rows(book: zipfile.ZipFile, entry: str, strings: list[str]) -> Iterator[list[str]]:
     """The cells of each row, trimmed; '' where there is none."""
     with book.open(entry) as f:
-        for _, row in ElementTree.iterparse(f):
+        held = None  # the element that holds the rows: read ones leave it
+        for event, row in ElementTree.iterparse(f, ("start", "end")):
+            if event == "start":
+                held = row if row.tag == f"{_NS}sheetData" else held
+                continue
             if row.tag != f"{_NS}row":
                 continue
             cells: list[str] = []
@@ -101,7 +106,8 @@ def rows(book: zipfile.ZipFile, entry: str, strings: list[str]) -> Iterator[list
                     text = value.text or ""
                 cells += [""] * (at + 1 - len(cells))
                 cells[at] = text.strip()
-            row.clear()
+            if held is not None:
+                held.clear()
             yield cells
 
 
@@ -111,31 +117,36 @@ class Sheet(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, sheet: int | None, limit: int | None):
+        self.path, self.sheet, self.limit = path, sheet, limit
 
-    def _book(self) -> zipfile.ZipFile:
+    @contextmanager
+    def _book(self) -> Iterator[zipfile.ZipFile]:
+        """The workbook, read where it lies: entries are streamed."""
         from pyarrow import fs as pafs
 
         fs, path = pafs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
         with fs.open_input_file(path) as f:
-            data = f.read()
-        if not is_zip(data):
-            raise ValueError("UNSUPPORTED: save the workbook as .xlsx")
-        return zipfile.ZipFile(io.BytesIO(data))
+            if not is_zip(f.read(2)):
+                raise ValueError("UNSUPPORTED: save the workbook as .xlsx")
+            f.seek(0)
+            with zipfile.ZipFile(f) as book:
+                yield book
 
     def partitions(self):
         with self._book() as book:
-            return [Sheet(i, name, entry) for i, (name, entry) in enumerate(sheets(book))]
+            found = [Sheet(i, name, entry) for i, (name, entry) in enumerate(sheets(book))]
+        return [s for s in found if self.sheet is None or s.number == self.sheet]
 
     def read(self, partition: Sheet):
         with self._book() as book:
-            for i, cells in enumerate(rows(book, partition.entry, shared_strings(book))):
+            for i, cells in enumerate(islice(rows(book, partition.entry, shared_strings(book)), self.limit)):
                 yield partition.number, partition.name, i, cells
 
 
 class XlsxSource(DataSource):
-    """spark.read.format("veritab_xlsx").load(path): sheet, name, line, cells."""
+    """spark.read.format("veritab_xlsx").load(path): sheet, name, line, cells. Options: sheet, the
+    number of the only one to read; limit, the rows to read of each."""
 
     @classmethod
     def name(cls) -> str:
@@ -145,29 +156,31 @@ class XlsxSource(DataSource):
         return "sheet int, name string, line int, cells array<string>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        number = lambda name: int(self.options[name]) if self.options.get(name) else None
+        return _Reader(self.options["path"], number("sheet"), number("limit"))
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
+def read_cells(spark: SparkSession, path: str, **options: int) -> DataFrame:
     spark.dataSource.register(XlsxSource)
-    return spark.read.format("veritab_xlsx").load(path)
+    return spark.read.format("veritab_xlsx").options(**options).load(path)
 
 
 def read(spark: SparkSession, path: str, scan: int = headers.SCAN_ROWS) -> list[tuple[DataFrame, headers.Layout]]:
-    """Each sheet that has a header, in workbook order, as its data rows and layout; others are skipped."""
+    """Each sheet that has a header, in workbook order, as its data rows and layout; others are skipped.
+
+    The first scan rows of all sheets are read for their headers, then each sheet by a scan of its own."""
     from pyspark.sql import functions as F
 
     from .csv import is_footer
 
-    cells = read_cells(spark, path)
-    top = cells.where(F.col("line") < scan).orderBy("sheet", "line").collect()  # scan rows a sheet
+    top = read_cells(spark, path, limit=scan).orderBy("sheet", "line").collect()
     out = []
     for number in sorted({r.sheet for r in top}):
         layout = headers.find([r.cells for r in top if r.sheet == number], scan)
         if layout is None:
             continue
         names = {name: i for i, name in enumerate(layout.headers) if name}
-        body = cells.where((F.col("sheet") == number) & (F.col("line") > layout.row))
+        body = read_cells(spark, path, sheet=number).where(F.col("line") > layout.row)
         key = F.concat(F.lpad(F.col("sheet").cast("string"), 6, "0"), F.lpad(F.col("line").cast("string"), 14, "0"))
         body = body.select(key.alias("row_id"), *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for n, i in names.items()])
         out.append((body.where(~is_footer(list(names), layout.roles.get("entity_raw"))), layout))
