@@ -3,15 +3,18 @@
 Files hold one gzip member per record (WARC/1.1). Of records with equal payloads of at least
 revisit_from bytes, the one with the smallest page_id is the response and the others revisit it,
 with the payload's digest and length but no payload. Which page is first is found by an aggregate
-over (digest, page_id) alone; no task sees all pages of a digest.
+over (digest, page_id) alone; no task sees all pages of a digest, and the payloads are dealt once,
+when the pages that revisit are marked.
 
 The reader checks every record: the member's own checks, the version line, Content-Length and the
 block and payload digests. Where a check fails, it searches from the next byte for a gzip member
 or, in uncompressed files, a version line that starts a record passing all checks, goes on there,
-and logs the byte gap as quarantined. Good records behind the damage are not lost.
+and logs the byte gap as quarantined. Good records behind the damage are not lost. A member may hold
+several records; what fails between them is quarantined as the whole member's bytes.
 
 Defined results: null html is an empty payload; null page_ids are written as such and are never
-the smallest unless alone; rows that share the smallest page_id of a digest are all responses;
+the smallest unless alone; rows that share the smallest page_id of a digest are all responses, each
+with a record id of its own;
 an empty table writes no file; extra columns are not read.
 """
 
@@ -49,18 +52,22 @@ def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + _HEAD_END + block + _HEAD_END
 
 
-def page_record(page_id: int | None, url: str | None, html: str | None, sha1: str, first: int | None, is_first: bool) -> bytes:
+def record_id(name: str, sha1: str, turn: int = 0) -> str:
+    """The id of a page's record; turn: the rows before it with the same page_id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{name}:{sha1}' + f':{turn}' * (turn > 0))}>"
+
+
+def page_record(page_id: int | None, url: str | None, html: str | None, sha1: str, first: int | None, is_first: bool, turn: int = 0) -> bytes:
     """The record of a page; sha1: its payload's digest in base32."""
     payload = (html or "").encode()
     name = "null" if page_id is None else str(page_id)
-    key = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{name}")
     target = re.sub(r"[\x00-\x20\x7f]+", "%20", url or f"page:{name}")
-    headers = {"WARC-Record-ID": f"<urn:uuid:{key}>", "WARC-Target-URI": target, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{sha1}", "X-Page-ID": name, "X-Payload-Length": str(len(payload))}
+    headers = {"WARC-Record-ID": record_id(name, sha1, turn), "WARC-Target-URI": target, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{sha1}", "X-Page-ID": name, "X-Payload-Length": str(len(payload))}
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if is_first:
         block = http + f"Content-Length: {len(payload)}".encode() + _HEAD_END + payload
         return record("response", headers | {"WARC-Block-Digest": f"sha1:{digest(block)}"}, block)
-    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{first}')}>", "X-Refers-To-Page": str(first)}
+    headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(str(first), sha1), "X-Refers-To-Page": str(first)}
     block = http + b"\r\n"
     return record("revisit", headers | {"WARC-Block-Digest": f"sha1:{digest(block)}"}, block)
 
@@ -93,13 +100,27 @@ def _parsed(data: bytes, at: int = 0) -> tuple[dict, int] | None:
     return headers | {"payload": payload}, end + 4
 
 
+def _records(data: bytes) -> tuple[list[dict], bool]:
+    """The records in a member's bytes that pass the checks, and whether nothing else is there."""
+    found, at, whole = [], 0, True
+    while at < len(data):
+        if got := _parsed(data, at):
+            found.append(got[0])
+            at = got[1]
+        else:
+            whole = False
+            behind = VERSION.search(data, at + 1)
+            at = behind.start() if behind else len(data)
+    return found, whole
+
+
 def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int]]]:
     """All records that pass the checks, and the quarantined gaps as (start, end) in bytes."""
     records: list[dict] = []
     gaps: list[tuple[int, int]] = []
     view, at, bad = memoryview(data), 0, -1
     while at < len(data):
-        found, end = None, at
+        found, end, whole = [], at, True
         if MEMBER.match(data, at):
             unpacker = zlib.decompressobj(wbits=31)
             try:  # a member at a time, fed in steps so that the rest of the file isn't copied
@@ -109,16 +130,18 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int]]]:
                     feed += 1 << 16
                 if unpacker.eof:
                     end = min(feed, len(data)) - len(unpacker.unused_data)
-                    found = _parsed(bytes(out))
+                    found, whole = _records(bytes(out))
             except zlib.error:
                 pass
         elif got := _parsed(data, at):
-            found, end = got, got[1]
+            found, end = [got[0]], got[1]
         if found:
             if bad >= 0:
                 gaps.append((bad, at))
                 bad = -1
-            records.append(found[0])
+            if not whole:
+                gaps.append((at, end))
+            records += found
             at = end
         else:
             bad = at if bad < 0 else bad
@@ -135,9 +158,13 @@ def write_warc(pages: DataFrame, folder: str, revisit_from: int = 0, file_bytes:
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"))
-    firsts = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= revisit_from).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    linked = pages.join(firsts.where("n > 1").select("sha1", "first"), "sha1", "left")
-    linked = linked.withColumn("is_first", F.coalesce(F.col("page_id") == F.col("first"), F.col("first").isNull()))
+    marks = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= revisit_from).select("page_id", "sha1")
+    firsts = marks.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    marks = marks.join(firsts.select("sha1", "first"), "sha1").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    marks = marks.distinct().select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "first")
+    # one exchange of the payloads, by page and digest
+    linked = pages.join(marks.hint("merge"), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1")), "left")
+    linked = linked.select("page_id", "url", "html", "sha1", "first", F.col("first").isNull().alias("is_first"))
     schema = pa.schema([("file", pa.string()), ("records", pa.int64())])
 
     def run(batches):
@@ -149,12 +176,14 @@ def write_warc(pages: DataFrame, folder: str, revisit_from: int = 0, file_bytes:
             _files.write(file, b"".join(held))
             return pa.RecordBatch.from_pydict({"file": [file], "records": [len(held)]}, schema)
 
-        size = 0
+        size, last, turn = 0, None, 0
         for batch in batches:
             cols = [batch.column(c) for c in ("page_id", "url", "html", "sha1", "first", "is_first")]
             for row in zip(*cols):
                 page_id, url, text, sha1, first, is_first = (x.as_py() for x in row)
-                held.append(member(page_record(page_id, url, text, base64.b32encode(sha1).decode(), first, is_first)))
+                turn = turn + 1 if last == (page_id, sha1) else 0
+                last = page_id, sha1
+                held.append(member(page_record(page_id, url, text, base64.b32encode(sha1).decode(), first, is_first, turn)))
                 size += len(held[-1])
                 if size >= file_bytes:
                     yield flush()
@@ -162,8 +191,7 @@ def write_warc(pages: DataFrame, folder: str, revisit_from: int = 0, file_bytes:
         if held:
             yield flush()
 
-    dealt = linked.repartition(partitions(spark), "page_id").sortWithinPartitions("page_id", "sha1")
-    return checkpoint(dealt.mapInArrow(run, "file string, records long"))
+    return checkpoint(linked.sortWithinPartitions("page_id", "sha1", "url").mapInArrow(run, "file string, records long"))
 
 
 def read_warc(manifest: DataFrame, with_payload: bool = False, strict: bool = False) -> tuple[DataFrame, DataFrame]:
