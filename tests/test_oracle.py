@@ -5,8 +5,9 @@ import math
 import duckdb
 import pytest
 
-from veritab.plans.oracle import ORACLE
-from veritab.plans.queries import QUERIES
+from veritab.plans import oracle, queries, stored
+
+ORACLE, QUERIES = oracle.ORACLE | stored.ORACLE, queries.QUERIES | stored.QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem".split()
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: set[str] = set()
+_local_dirs: dict[str, str] = {}
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -15,14 +16,27 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; on a local master without one, a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if context.applicationId not in _local_dirs:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _local_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="veritab-")
+        context.setCheckpointDir(_local_dirs[context.applicationId])
+    return _local_dirs[context.applicationId]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed now and kept in the session's checkpoint folder: for tables of distinct keys and
     catalogs, which many joins read."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.applicationId not in _local_dirs:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="veritab-"))
-        _local_dirs.add(context.applicationId)
+    shared_dir(df.sparkSession)
     return df.checkpoint()

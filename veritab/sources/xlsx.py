@@ -243,7 +243,10 @@ def write_rows(target, header: list[str], data: Iterator, max_rows: int = MAX_RO
 
 def write(df: DataFrame, path: str, order: str | None = None, max_rows: int = MAX_ROWS) -> int:
     """One workbook from a frame, streamed through the driver a partition at a time."""
+    from pyarrow import fs as pafs
+
     ordered = df.orderBy(order) if order else df
     columns = [c for c in df.columns if c != order]
-    with open(path, "wb") as f:
+    fs, own = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    with fs.open_output_stream(own) as f:
         return write_rows(f, columns, ([r[c] for c in columns] for r in ordered.toLocalIterator(prefetchPartitions=True)), max_rows)
