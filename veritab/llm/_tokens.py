@@ -3,7 +3,8 @@
 A library encode of running text costs tens of microseconds a word, most of it for words seen
 before. Text of the two public layouts below falls into pieces at white space that no pre-token
 crosses, so a piece's ids can be kept: a piece is cut into pre-tokens by the layout's own pattern
-and each goes through the library's BPE model once. Where that does not hold (runs of white space
+and each goes through the library's BPE model once. Most pieces are one word of Latin letters, with
+closing marks or none, and need no pattern to be cut. Where that does not hold (runs of white space
 around a space, separator controls, special tokens' strings, any other layout), the library encodes
 the whole text. Both caches stop growing at a limit, so memory is bounded.
 """
@@ -12,18 +13,21 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-PIECES = 300_000
+PIECES, TOKENS = 300_000, 50_000
 U4 = np.dtype("<u4")
 
 # The pre-token patterns of the two layouts.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin letters alone (all of them in composed form), and marks that form one pre-token in both layouts.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)").fullmatch
 
 
 def byte_table() -> dict[int, str]:
@@ -55,22 +59,32 @@ class Encoder:
         layout = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in layout["added_tokens"]]
         self.vocab_size = self.tokenizer.get_vocab_size()
-        table, pre = byte_table(), layout["pre_tokenizer"] or {}
-        self.tokens = _Cache(lambda t: self._ids(t.encode().decode("latin-1").translate(table)), limit)
+        self.packed = [struct.pack("<I", i) for i in range(self.vocab_size)]
+        self.table, pre = byte_table(), layout["pre_tokenizer"] or {}
+        self.tokens = _Cache(self._ids, TOKENS)
         self.kind = ""
         if not layout["normalizer"] and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
             self.kind, pattern = "byte", regex.compile(BYTE_LEVEL)
-            self.pieces = _Cache(lambda p: self._joined(pattern.findall(" " + p)), limit)
+            self.pieces = _Cache(lambda p: self._simple(p, " ") or self._joined(pattern.findall(" " + p)), limit)
             self.first = lambda p: self._joined(pattern.findall(p))
         elif [n["type"] for n in (layout["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             splits = pre.get("pretokenizers", [])
             if splits and splits[0].get("pattern") == {"Regex": WORD_LEVEL} and splits[0]["invert"]:
                 self.kind, pattern = "word", regex.compile(WORD_LEVEL)
-                self.pieces = _Cache(lambda p: self._joined(pattern.findall(self._folded(p))), limit)
+                self.pieces = _Cache(lambda p: self._simple(p.lower(), "") or self._joined(pattern.findall(self._folded(p))), limit)
         self.unsafe = re.compile(r"\s (?:\s|$)")
 
-    def _ids(self, mapped: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(mapped)], U4).tobytes()
+    def _ids(self, token: str) -> bytes:
+        mapped = token.encode().decode("latin-1").translate(self.table)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(mapped)])
+
+    def _simple(self, piece: str, before: str) -> bytes | None:
+        """The ids of a word with closing marks; None for other pieces."""
+        found = SIMPLE(piece)
+        if not found:
+            return None
+        word, marks = found.groups()
+        return self._ids(before + word) + (self.tokens[marks] if marks else b"")
 
     def _joined(self, tokens: list[str]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, tokens))

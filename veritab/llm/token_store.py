@@ -11,9 +11,11 @@ A store is a folder of shard files. A shard holds consecutive documents in ascen
 An Elias-Fano sequence of n ascending values below u keeps floor(log2(u / n)) low bits of each
 value plainly and the high parts as unary gaps in a bit vector: about 2 + log2(u / n) bits a value.
 select(i) finds the i-th set bit through one 32-bit sample for every 256 set bits and a scan of the
-bytes from there, so no 64-bit table of offsets exists, in the file or in memory.
+bytes from there; block(i, j) decodes a run of values the same way. So no 64-bit table of offsets
+exists in the file, and readers hold one of BLOCK values at a time.
 
-Documents are dealt by range of doc_id; a task encodes and writes its range in pieces, holding one
+Documents are dealt by range of doc_id and text hash (a doc_id that many rows share is split, and
+its rows have one order, whatever is computed again); a task encodes and writes its range in pieces, holding one
 shard at a time. Only one manifest row per shard is gathered, and offsets across shards come from
 its prefix sums. Null texts are empty ones (the end id alone), null doc_ids come first, repeated
 rows are kept as they are, an empty table makes an empty store, extra columns are not read.
@@ -36,7 +38,7 @@ from ._tokens import U4, encoder, tokenizer_path
 
 MAGIC = b"EFTOKEN1"
 SHARD_IDS = 4_000_000
-SAMPLE = 256
+SAMPLE, BLOCK = 256, 4096
 _COUNTS = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
@@ -78,14 +80,27 @@ class EliasFano:
             value |= (self.low[where // 8] >> where % 8 & 1) << b
         return value
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def block(self, i: int, j: int) -> np.ndarray:
+        """The values from the i-th to before the j-th."""
+        j = min(j, self.n)
+        if i >= j:
+            return np.zeros(0, np.int64)
+        first, last = i // SAMPLE, -(-j // SAMPLE)  # the samples around
+        begin = int(self.samples[first])
+        end = int(self.samples[last]) // 8 + 1 if last < len(self.samples) else len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, end - begin // 8, begin // 8), bitorder="little")
+        bits[: begin % 8] = 0
+        ones = np.flatnonzero(bits)[i - first * SAMPLE : j - first * SAMPLE] + begin // 8 * 8
+        out = ones - np.arange(i, j) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little", count=self.n * self.low_bits)
-            out |= (bits.reshape(self.n, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+            at = i * self.low_bits
+            bits = np.unpackbits(np.frombuffer(self.low, np.uint8, offset=at // 8), bitorder="little", count=at % 8 + (j - i) * self.low_bits)[at % 8 :]
+            out |= (bits.reshape(j - i, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(1)
         return out
 
+    def all(self) -> np.ndarray:
+        return self.block(0, self.n)
+
     def to_bytes(self) -> bytes:
         return struct.pack("<QQQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low + self.high + self.samples.tobytes()
 
@@ -115,8 +130,8 @@ class Shard:
             raise ValueError("not a whole shard")
         width, self.documents, self.n_ids, nulls, least, a, b = struct.unpack_from("<QQQQqQQ", data, 8)
         at = 8 + struct.calcsize("<QQQQqQQ")
-        names = EliasFano.from_bytes(data[at : at + a])
-        self.doc_ids: list[int | None] = [None] * nulls + [int(x) + least for x in names.all()]
+        self.nulls, self.least = nulls, least
+        self.names = EliasFano.from_bytes(data[at : at + a])
         self.ends = EliasFano.from_bytes(data[at + a : at + a + b])
         self.flat = np.frombuffer(data, f"<u{width}", self.n_ids, at + a + b)
 
@@ -127,6 +142,12 @@ class Shard:
         start, end = self.bounds(i)
         return self.flat[start:end]
 
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """Those of the documents from the i-th to before the j-th."""
+        j = min(j, self.documents)
+        known = self.names.block(max(i - self.nulls, 0), max(j - self.nulls, 0))
+        return [None] * (j - i - len(known)) + (known + self.least).tolist()
+
 
 def write_store(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the store; returns its manifest (part, shard, file, documents, n_ids), in the order of
@@ -158,7 +179,8 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard_
             yield flush()
 
     schema = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("file", pa.string()), ("documents", pa.int64()), ("n_ids", pa.int64())])
-    dealt = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     return checkpoint(dealt.mapInArrow(run, "part long, shard long, file string, documents long, n_ids long"))
 
 
@@ -169,10 +191,13 @@ def read_store(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for file, before in zip(batch.column("file").to_pylist(), batch.column("_before").to_pylist()):
                 shard = Shard(_files.read(file))
-                ends = shard.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                crcs = [zlib.crc32(shard.flat[a:b].astype(U4).tobytes()) for a, b in zip(starts, ends)]
-                yield pa.RecordBatch.from_pydict({"doc_id": shard.doc_ids, "start": starts + before, "n_tokens": ends - starts, "ids_crc32": crcs}, schema)
+                last = 0
+                for i in range(0, shard.documents, BLOCK):
+                    ends = shard.ends.block(i, i + BLOCK)
+                    starts = np.concatenate([[last], ends[:-1]])
+                    last = int(ends[-1])
+                    crcs = [zlib.crc32(shard.flat[a:b].astype(U4).tobytes()) for a, b in zip(starts, ends)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": shard.doc_ids(i, i + BLOCK), "start": starts + before, "n_tokens": ends - starts, "ids_crc32": crcs}, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     placed = positions(manifest, [F.col("part"), F.col("shard")], "n_ids")
