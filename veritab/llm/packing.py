@@ -172,10 +172,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, orde
             yield rows(done)
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    hashed = F.xxhash64("text")  # repeated doc_ids in one order whatever is recomputed
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)])
-    keys = [F.col(f"_order{i}") for i in range(len(order))]
-    dealt = dealt.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys, hashed)
+    # the text hash splits an id that many rows share, and gives its rows one order whatever is recomputed
+    keys = [*[F.col(f"_order{i}") for i in range(len(order))], F.xxhash64("text")]
+    dealt = dealt.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
     return dealt.select("doc_id", "text").mapInArrow(run, ddl)
 
 
