@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veritab.functions import dates, numeric, text
 from veritab.operators import catalog, fuzzy, quality
 from veritab.plans import run, sellout
-from veritab.sources import csv, headers, store, template, xlsx
+from veritab.sources import csv, headers, seeds, store, template, xlsx
 
 
 def one(spark, f, *values):
@@ -145,6 +145,27 @@ def test_store_switch(spark, tmp_path):
     assert s.read("region_dict").count() == 2
 
 
+def test_seed_catalogs(spark, tmp_path):
+    """A run with the seeds stated in the code and files beside them."""
+    (tmp_path / "region_dict.csv").write_text("variant,region\nCaracas,DISTRITO CAPITAL\n")
+    (tmp_path / "category_dict.csv").write_text('variant,category\n"Bodeguita, la",Bodegas\nX,Unknown\n')
+    config = seeds.config(spark, f"file://{tmp_path}")
+    assert config.categories.count() == 14 and config.regions.count() == 24 and config.cities.count() == 0
+    texts = ["EDO. N. ESPARTA", "Edo. La Guaira", "caracas", "AV 5 DTTO CAPITAL", "ESTADO DELTA", "13 - ZULIA", "ESTADO ANZ", "nowhere at all"]
+    rows = [(str(i), "D", f"J-{i}", "", "n", "bodeguita, LA" if i else "Otros", t, "", "", "", "1") for i, t in enumerate(texts)]
+    names = "row_id source entity_raw client_code client_name category_raw region_raw city_raw branch period_raw measure_raw".split()
+    got = run.pipeline(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), config).resolved.orderBy("row_id").collect()
+    assert [r.region for r in got] == ["NUEVA ESPARTA", "VARGAS", "DISTRITO CAPITAL", "DISTRITO CAPITAL", "DELTA AMACURO", "ZULIA", "ANZOATEGUI", None]
+    assert [r.category for r in got] == [None] + ["Bodegas"] * 7
+    assert {c for c, *_ in seeds.CATEGORIES} >= set(seeds.LEGACY.values()) and len(seeds.LEGACY) == 37
+
+
+def test_store_upgrade(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    assert (s.upgrade(), s.upgrade()) == (0, store.VERSION)
+    assert {r.name: r.entries for r in s.counts().collect()} == {n: int(n == "meta") for n in s.tables}
+
+
 def test_xlsx_round_trip(spark, tmp_path):
     path = str(tmp_path / "a.xlsx")
     with open(path, "wb") as f:

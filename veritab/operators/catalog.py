@@ -30,6 +30,7 @@ class Config:
     manual: DataFrame  # entity_id, client_name, category, category_group, region
     phrases: DataFrame  # phrase, region, pos
     explicit: dict[str, str] = field(default_factory=dict)
+    bare: dict[str, str] = field(default_factory=dict)
     assign: int = 92
     suggest: int = 80
     catch_all: str = "OTROS"
@@ -129,6 +130,11 @@ def indexes(config: Config) -> Indexes:
     return config.prepared
 
 
+def master_index(entries: DataFrame) -> DataFrame:
+    """The last entry of each normal id, by pos."""
+    return _one(entries.withColumn("key", normalize_id(F.col("entity_id"))), F.desc("pos"))
+
+
 def alias_indexes(aliases: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Active aliases by (source, code), and by a code alone that means one entity in all sources.
     regions: the catalog's keys."""
@@ -183,8 +189,12 @@ def by_parent(categories: DataFrame) -> DataFrame:
 
 
 def migrate_codes(entries: DataFrame, legacy: DataFrame, categories: DataFrame, col: str = "category") -> DataFrame:
-    """Old category names as current ones, by (old, new); unknown ones become null."""
-    current = categories.select(F.col("category").alias(col), F.col("category").alias("_now"))
-    old = legacy.select(F.col("old").alias(col), F.col("new").alias("_new"))
-    joined = entries.join(current, col, "left").join(old, col, "left")
-    return joined.withColumn(col, F.coalesce("_now", "_new")).select(*entries.columns)
+    """Old category names as current ones, by (old, new), compared in normal form; unknown ones become
+    null. A category_group column follows."""
+    named = categories.select("category", "category_group")
+    now = named.select(normalize_text(F.col("category")).alias("_key"), F.struct("category", "category_group").alias("_now"))
+    old = legacy.select(normalize_text(F.col("old")).alias("_key"), F.col("new").alias("category")).join(named, "category")
+    joined = entries.withColumn("_key", normalize_text(F.col(col))).join(now, "_key", "left")
+    joined = joined.join(old.select("_key", F.struct("category", "category_group").alias("_old")), "_key", "left").withColumn("_n", F.coalesce("_now", "_old"))
+    values = {col: F.col("_n.category")} | ({"category_group": F.col("_n.category_group")} if "category_group" in entries.columns else {})
+    return joined.withColumns(values).select(*entries.columns)

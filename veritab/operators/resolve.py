@@ -59,7 +59,7 @@ def parse_geo(texts: DataFrame, config: Config, col: str = "text") -> DataFrame:
     """(text, region) of distinct geo_texts: a declared region, else a known phrase's."""
     named = texts.select(col).distinct().where(F.length(col) >= 3)
     phrases = phrase_region(named, config.phrases, col).withColumnRenamed("region", "_phrase")
-    told = F.coalesce(explicit_region(F.col(col), config.explicit), "_phrase")
+    told = F.coalesce(explicit_region(F.col(col), config.explicit, config.bare), "_phrase")
     both = named.join(phrases, col, "left").select(col, normalize_text(told).alias("region"))
     known = indexes(config).regions.select(F.col("key").alias("region"))
     return both.join(known, "region", "left_semi").select(col, "region")

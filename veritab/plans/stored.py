@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_valid_id
 from ..operators import views
-from ..operators.catalog import indexes
+from ..operators.catalog import indexes, master_index, migrate_codes
 from ..sources import csv, settings, template, xlsx
 from ..sources.store import Store
 from . import oracle, queries, sellout
@@ -145,6 +145,26 @@ def run_config(spark, d):
     return part("category", by.categories, "category").unionByName(part("region", by.variants, "region")).unionByName(part("city", by.cities, "region")).unionByName(kept)
 
 
+@query(BASIC + f"""select entity_id, client_name from (select {nid('entity_id')} as key, entity_id, client_name, row_number() over (partition by {nid('entity_id')} order by pos desc) as n
+    from (select * from c_aliases union all select source, client_code, lower(entity_id), upper(client_name), region, active, pos + 100000000 from c_aliases where pos % 2 = 0) where {nid('entity_id')} <> '') where n = 1""")
+def master_lookup(spark, d):
+    """The last entry of each id, half of which stand twice."""
+    a = sellout.config(spark, d).aliases
+    again = a.where("pos % 2 = 0").withColumns({"entity_id": F.lower("entity_id"), "client_name": F.upper("client_name"), "pos": F.col("pos") + 100_000_000})
+    return master_index(a.unionByName(again)).select("entity_id", "client_name")
+
+
+OLD_CATEGORIES = [("n3  BUILDING", "N3 BUILDING"), ("CASAS", "N3 FURNITURE"), ("casas", "N3 FURNITURE"), ("NADIE", None), ("", None), (None, None)]
+
+
+@query("select * from (values " + _values([(o, n, None if n is None else "CASA") for o, n in OLD_CATEGORIES]) + ") t(old, category, category_group)")
+def legacy_migration(spark, d):
+    """Names of an older catalog, current ones and unknown ones."""
+    rows = spark.createDataFrame([(o, o, "X") for o, _ in OLD_CATEGORIES], "old string, category string, category_group string")
+    names = spark.createDataFrame([("Casas", "N3 FURNITURE")], "old string, new string")
+    return migrate_codes(rows, names, sellout.config(spark, d).categories)
+
+
 @query(f"select * from (values ('category_dict', {len(sellout.LEARNED)}), ('region_dict', {len(REGION_LEARNED) - 1}), ('cities', {len(CITY_LEARNED)}), ('aliases', 0), ('manual', 0), ('meta', 2)) t(name, entries)")
 def store_counts(spark, d):
     """Entries after upserts, one of them over another of its key, and a deletion."""

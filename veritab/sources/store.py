@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.text import alias_key, normalize_id, normalize_text
 from ..operators.catalog import delete, upsert
 
+#: Of the tables below.
+VERSION = 4
 #: name -> (schema, key); pos orders entries.
 TABLES: dict[str, tuple[str, Column]] = {}
 
@@ -90,6 +92,15 @@ class Store:
             if name != "meta":
                 self.replace(name, self.spark.createDataFrame([], self.tables[name][0]))
 
+    def upgrade(self) -> int:
+        """Makes the tables that an older store lacks, notes the version, and returns the one before."""
+        row = self.read("meta").where("name = 'version'").first()
+        for name in self.tables:
+            if self._version(name) is None:
+                self.replace(name, self.spark.createDataFrame([], self.tables[name][0]))
+        self.upsert("meta", self.spark.createDataFrame([("version", str(VERSION), 0)], self.tables["meta"][0]))
+        return int(row.value) if row else 0
+
     def counts(self) -> DataFrame:
         parts = [self.read(n).agg(F.lit(n).alias("name"), F.count("*").alias("entries")) for n in self.tables]
         out = parts[0]
