@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_valid_id
 from ..operators import views
 from ..operators.catalog import indexes, master_index, migrate_codes
-from ..sources import csv, settings, template, xlsx
+from ..sources import csv, headers, settings, template, xlsx
 from ..sources.store import Store
 from . import oracle, queries, sellout
 from .oracle import BASIC, full, nid, nt, q, r4
@@ -183,6 +183,40 @@ def export_learned(spark, d):
 
 # files -----------------------------------------------------------------------------------------
 
+HEADER_CASES = {
+    "plain": [["RIF", "Canal", "Estado", "TON"], ["J-1", "Bodega", "Lara", "3"]],
+    "letterhead": [["Reporte de ventas"], ["", ""], ["Cod. Cliente", "Razón Social", "Cédula", "Tipo de tienda", "Edo.", "Municipio", "Distribuidor", "Periodo", "Toneladas"]],
+    "pivot": [["Row Labels", "Distinct Count of RIF", "Canal"], ["RIF", "Segmento", "x"]],
+    "pedido": [["RIF", "Estado del pedido", "Departamento", "Fecha de venta"]],
+    "sources": [["Cod Distribuidor", "Nombre Distribuidor", "Cédula", "ID Cta", "Sucursal", "Fecha vencimiento", "Mes"]],
+    "none": [["a", "b"], ["TON", "Mes"]],
+}
+# what each case has by the rules: line of the header, score, roles
+HEADER_RESULTS = [
+    ("plain", 0, 59, "entity_raw", "RIF"), ("plain", 0, 59, "category_raw", "Canal"), ("plain", 0, 59, "region_raw", "Estado"), ("plain", 0, 59, "measure_raw", "TON"),
+    ("letterhead", 2, 89, "entity_raw", "Cédula"), ("letterhead", 2, 89, "category_raw", "Tipo de tienda"), ("letterhead", 2, 89, "region_raw", "Edo."),
+    ("letterhead", 2, 89, "city_raw", "Municipio"), ("letterhead", 2, 89, "client_code", "Cod. Cliente"), ("letterhead", 2, 89, "source", "Distribuidor"),
+    ("letterhead", 2, 89, "client_name", "Razón Social"), ("letterhead", 2, 89, "period_raw", "Periodo"), ("letterhead", 2, 89, "measure_raw", "Toneladas"),
+    ("pivot", 1, 38, "entity_raw", "RIF"), ("pivot", 1, 38, "category_raw", "Segmento"),
+    ("pedido", 0, 44, "entity_raw", "RIF"), ("pedido", 0, 44, "region_raw", "Departamento"), ("pedido", 0, 44, "period_raw", "Fecha de venta"),
+    ("sources", 0, 38, "entity_raw", "Cédula"), ("sources", 0, 38, "client_code", "ID Cta"), ("sources", 0, 38, "branch", "Sucursal"), ("sources", 0, 38, "source", "Nombre Distribuidor"), ("sources", 0, 38, "period_raw", "Mes"),
+]
+
+
+@query(f"select * from (values {_values(HEADER_RESULTS)}) t(file, line, score, role, header)")
+def header_roles(spark, d):
+    """Header rows and column roles of files with letterheads, pivot tables and look-alikes."""
+    found = {name: headers.find(rows) for name, rows in HEADER_CASES.items()}
+    rows = [(name, f.row, f.score, role, header) for name, f in found.items() if f for role, header in f.roles.items() if header]
+    return spark.createDataFrame(rows, "file string, line int, score int, role string, header string")
+
+
+@query("""select * from (values ('a.CSV', 'csv', 'manifiesto_corrida_a_CSV.json'), ('b.xlsx', 'xlsx', 'manifiesto_corrida_b_xlsx.json'), ('c d.xls', 'xlsx', 'manifiesto_corrida_c_d_xls.json'),
+    ('e-f.txt', null, 'manifiesto_corrida_e-f_txt.json')) t(name, kind, manifest)""")
+def file_names(spark, d):
+    return spark.createDataFrame([(n, xlsx.kind_of(n), views.manifest_name(n)) for n in ("a.CSV", "b.xlsx", "c d.xls", "e-f.txt")], "name string, kind string, manifest string")
+
+
 CSV_HEADER = {"RIF": "entity_raw", "Canal": "category_raw", "Estado": "region_raw", "Ciudad": "city_raw", "Cod Cliente": "client_code", "Nombre Cliente": "client_name", "Fecha": "period_raw", "TON": "measure_raw"}
 
 
