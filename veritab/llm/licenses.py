@@ -6,7 +6,8 @@ hundred rows, broadcast); words are compared too, so equal hashes of different w
 Each match votes for its offset diagonal, document position less template position. Votes are
 aggregated by document, template and diagonal; neighbouring diagonals (up to DRIFT words apart,
 that is, small insertions or deletions) are merged; a merged span is verified by the share of
-distinct template positions it covers. A phrase stands at a place if one diagonal has all of its
+distinct template positions it covers. Licenses of one family share most of their notices, so their
+templates are the names that tell them apart. A phrase stands at a place if one diagonal has all of its
 votes. Votes are counted as distinct positions before anything meets by document, and only matches
 are shuffled.
 
@@ -38,9 +39,23 @@ PHRASES = {
 NOTICES = {
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
     "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License": "apache-2",
-    "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License": "cc-by-nc",
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd",
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software": "mit",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT": "mit",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied": "apache-2",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": "bsd",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsd",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one": "mpl-2",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies": "isc",
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software": "unlicense",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions": "zlib",
+    "GNU General Public License": "gpl",
+    "GNU Lesser General Public License": "lgpl",
+    "GNU Affero General Public License": "agpl",
+    "Creative Commons Attribution 4.0": "cc-by",
+    "Creative Commons Attribution ShareAlike": "cc-by-sa",
+    "Creative Commons Attribution NonCommercial": "cc-by-nc",
+    "has waived all copyright and related or neighboring rights to this work CC0 1.0 Universal": "cc0",
 }
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
