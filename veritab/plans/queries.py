@@ -36,6 +36,9 @@ def _run(spark, d) -> run.Run:
 
 def forget() -> None:
     """Later queries make their runs anew."""
+    for held in _RUNS.values():
+        held.resolved.unpersist()
+        held.master.unpersist()
     _RUNS.clear()
 
 
