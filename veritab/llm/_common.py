@@ -96,6 +96,27 @@ def positions(df: DataFrame, order: list[Column], size: str | None = None) -> Da
     return out if size else out.drop("_before")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """df's columns, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all of df's columns but maps, which have none."""
+    return F.xxhash64(*[c for c, f in zip(own_columns(df), df.schema) if "map<" not in f.dataType.simpleString()])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -9,8 +9,7 @@ two matrix products: presence by landmark presence, then by the folded weights.
 
 Fitting reads at most PER_LANGUAGE labelled documents of each language, those with the smallest
 hashes of their doc_id, and FIT_MAX in all: bounds that are parameters. Their n-gram sets are made
-on the executors. Prediction reads every whole text; a text's memory is its own bytes and a table
-of the 2**24 possible 3-grams, which each Python worker keeps.
+on the executors. Prediction reads every whole text; its memory is that of the text's own n-grams.
 
 The regressions' scores of any text sum to 2 - L over L languages, so the best of them can't tell
 that no language fits. That is told by coverage: the share of a text's 3-grams of letters which two
@@ -23,7 +22,9 @@ have no quantile.
 Defined results: null texts, and texts without any letter, are "und" with score 0; a null doc_id is
 not held out and not learned from; with no labelled documents all are "und"; equal scores go to the
 language that sorts first; repeated rows get equal results; an empty table gives no rows; extra
-columns are kept by `identify`, and not read by the query.
+columns are kept by `identify` under their names (the names of its own get underscores before them
+where the table has such a column), and not read by the query; of rows that repeat a labelled one,
+one is learned from.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import table
+from ._common import free_names, table
 
 PER_LANGUAGE, FIT_MAX = 160, 2048
 LANDMARKS_PER_LANGUAGE, LANDMARKS_MAX = 40, 240
@@ -44,8 +45,6 @@ RIDGE, UNKNOWN = 1e-3, "und"
 CLAIM, CLAIM_FROM = 0.5, 8
 _LETTER = re.compile(r"[^\W\d_]")
 _OFFSETS = (0, 1 << 8, (1 << 8) + (1 << 16))
-SPACE = (1 << 8) + (1 << 16) + (1 << 24)
-_seen: list[np.ndarray] = []
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[97:123] = _IN_WORD[128:] = True
 
@@ -56,13 +55,8 @@ def ngrams(text: str) -> list[np.ndarray]:
     if len(b) < 3:
         grams = [np.unique(b).astype(np.int64), np.unique(b[:-1].astype(np.int64) << 8 | b[1:]) if len(b) == 2 else np.zeros(0, np.int64), np.zeros(0, np.int64)]
         return [g + o for g, o in zip(grams, _OFFSETS)]
-    if not _seen:
-        _seen.append(np.zeros(1 << 24, np.int32))
     wide = b.astype(np.int32)
-    three = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
-    place = np.arange(len(three), dtype=np.int32)
-    _seen[0][three] = place  # the last place of each 3-gram stays
-    three = three[_seen[0][three] == place]
+    three = np.unique(wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:])
     two = np.unique(np.append(three >> 8, wide[-2] << 8 | wide[-1]))
     one = np.unique(np.append(two >> 8, wide[-1]))
     return [g.astype(np.int64) + o for g, o in zip((one, two, three), _OFFSETS)]
@@ -79,10 +73,8 @@ class Classifier:
 
     def __init__(self, labels: list[str], grams: list[list[np.ndarray]], landmarks: list[int], ridge: float = RIDGE):
         self.languages = sorted(set(labels))
-        codes = np.unique(np.concatenate([c for i in landmarks for c in grams[i]]))
-        self.column = np.full(SPACE, -1, np.int32)
-        self.column[codes] = np.arange(len(codes))
-        self.width = len(codes)
+        self.known = np.unique(np.concatenate([c for i in landmarks for c in grams[i]]))
+        self.width = len(self.known)
         self.landmarks = self.rows([grams[i] for i in landmarks])
         own = (self.landmarks @ self.landmarks.T).astype(np.float64)
         values, vectors = np.linalg.eigh(own)
@@ -123,8 +115,8 @@ class Classifier:
         for row, sets in zip(out, grams):
             for codes in sets:
                 if len(codes):
-                    known = self.column[codes]
-                    row[known[known >= 0]] = 1 / np.sqrt(3 * len(codes))
+                    at = np.minimum(np.searchsorted(self.known, codes), self.width - 1)
+                    row[at[self.known[at] == codes]] = 1 / np.sqrt(3 * len(codes))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
@@ -140,10 +132,11 @@ class Classifier:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, fit_max: int = FIT_MAX) -> Classifier | None:
     """A classifier from (doc_id, text, lang); lang and doc_id not null."""
     known = labelled.where("doc_id is not null and lang is not null")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-    picked = picked.where(F.col("n") <= per_language).orderBy("n", *order).limit(fit_max).select("doc_id", "lang", "n").distinct()
-    texts = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("doc_id", "lang", "n", "text")  # fit_max rows
+    known = known.select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")]
+    picked = known.select("doc_id", "lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    picked = picked.where(F.col("n") <= per_language).orderBy("n", *order).limit(fit_max)
+    texts = known.join(F.broadcast(picked), ["doc_id", "lang", "h"]).dropDuplicates(["lang", "n"])  # at most fit_max rows, also of repeated ones
 
     schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("doc_id", pa.int64())] + [(f"g{i}", pa.list_(pa.int64())) for i in (1, 2, 3)])
 
@@ -163,25 +156,26 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, fit_max: int = FI
     return Classifier(labels, grams, landmarks or list(range(min(len(rows), LANDMARKS_MAX))))
 
 
-def identify(docs: DataFrame, model: Classifier | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and claimed: whether any language claims the text."""
+def identify(docs: DataFrame, model: Classifier | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "claimed")) -> DataFrame:
+    """docs with, by the names, the predicted language, its score, and whether any language claims the text."""
+    names = free_names(docs, *names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANDMARKS_MAX rows of n-grams
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score", "claimed")]
-    docs = docs.select(*columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("claimed", T.BooleanType())])
+    plain, place = [f"c{i}" for i in range(len(docs.columns) + 3)], docs.columns.index(text_col)
+    kinds = [*[f.dataType for f in docs.schema], T.StringType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([*map(T.StructField, plain, kinds)])
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = batch.column(columns.index(text_col)).to_pylist()
+                texts = batch.column(place).to_pylist()
                 if shared.value is None:
                     found = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
                 else:
                     found = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], names=[*columns, "lang_pred", "score", "claimed"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], names=plain)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*plain[:-3]).mapInArrow(run, schema).toDF(*docs.columns, *names)
 
 
 def held_out(doc_id: str = "doc_id"):
