@@ -149,16 +149,21 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(cid, shingles) from (cid, key, text), of the texts whose set the key stands for."""
+    """(cid, shingles) from (cid, key, text), of the texts whose set the key stands for; of repeated
+    rows in a task, one."""
     schema = pa.schema([("cid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
+        seen: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 cids, sets = [], []
                 for cid, key, text in zip(*whole.slice(at, 256).columns):
+                    if cid.as_py() in seen:
+                        continue
                     x = shingle_set(text.as_py(), k)
                     if xxhash.xxh3_128_digest(x.tobytes()) == key.as_py():
+                        seen.add(cid.as_py())
                         cids.append(cid.as_py())
                         sets.append(x.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
