@@ -9,7 +9,8 @@ Weights are exact rationals (a double stands for its own value), brought to copr
 the sum C: w = c / C. The schedule follows every block of the corpus with releases and deadlines in
 whole numbers. It is made on the driver, one heap operation a block, and goes to the shared folder
 CHUNK blocks at a time, so the driver's memory follows the sources and its time the blocks. A block
-is block_rows consecutive documents of a source in doc_id order. A source that has run out has no
+is block_rows consecutive documents of a source in doc_id order: BLOCK_ROWS, or as many more as keep
+the corpus at about BLOCKS blocks, so the driver's work is bounded whatever the corpus. A source that has run out has no
 further blocks; a slot for which no block is released stays empty. Until the first source has run
 out no slot is empty and the deviation bound holds for all sources; later the others keep their
 windows, and so their mutual shares, and every document is placed.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from ._common import positions, scratch, table
 
 CHUNK = 1 << 19
-BLOCK_ROWS = 8
+BLOCK_ROWS, BLOCKS = 8, 1 << 22
 ALPHA = 0.5
 #: Tables with one row a source are broadcast up to so many sources.
 BROADCAST_SOURCES = 1 << 16
@@ -120,7 +121,7 @@ def _key(c: str):
     return F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit(NULL))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = None, period: int | None = None, block_rows: int = BLOCK_ROWS, max_sources: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = None, period: int | None = None, block_rows: int | None = None, max_sources: int | None = None) -> DataFrame:
     """(doc_id, source, _hash, _copies, weight, block, release, deadline, slot, position) of every
     distinct (doc_id, source, text); it takes the places position to position + _copies - 1.
 
@@ -130,6 +131,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = No
     spark = docs.sparkSession
     rows = docs.groupBy("doc_id", "source", F.xxhash64("text").alias("_hash")).agg(F.count("*").alias("_copies"))
     sizes = source_rows(docs)
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(sizes.values()) // BLOCKS))
     target = tempered(sizes) if weights is None else {NULL if k is None else f"s{k}": w for k, w in weights.items()}
     counts = exact(target) if any(w > 0 for w in target.values()) else {}
     total = sum(counts.values())
@@ -159,10 +161,28 @@ def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = No
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its place in the mix; weights are the sources' row counts to the power ALPHA."""
+    """Every document with its place in the mix; weights are the sources' row counts to the power ALPHA,
+    shown to 12 places."""
     mixed = mix(table(spark, sf_dir, "documents"))
     each = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
-    return each.select("doc_id", "source", "weight", "block", "release", "deadline", "slot", (F.col("position") + F.col("_copy")).alias("position"))
-
-
+    return each.select("doc_id", "source", F.round("weight", 12).alias("weight"), "block", "release", "deadline", "slot", (F.col("position") + F.col("_copy")).alias("position"))
+
+
+ORACLE = {
+    "op3_mix_sources": """
+with recursive d as (select doc_id, source, coalesce('s' || source, 'n') as k, row_number() over (partition by coalesce('s' || source, 'n') order by doc_id) - 1 as nth from documents),
+s as (select k, cast(pow(count(*), 0.5) * 4503599627370496 as hugeint) as c, (count(*) + 7) // 8 as blocks from d group by k),
+t as (select list(k order by k) as ks, list(c order by k) as cs, list(blocks order by k) as bs, sum(c) as total, count(*) as n from s),
+e as (
+    select cast(-1 as hugeint) as slot, list_transform(range(n), lambda x: cast(0 as hugeint)) as nxt, cast(null as struct(d hugeint, i bigint, j hugeint, r hugeint)) as best from t where n > 0
+    union all
+    select slot, list_transform(range(1, len(nxt) + 1), lambda i: case when i = best.i then nxt[i] + 1 else nxt[i] end), best from (
+        select slot, nxt, list_sort(list_filter(open, lambda x: x.r <= slot))[1] as best from (
+            select greatest(slot + 1, list_min(list_transform(open, lambda x: x.r))) as slot, nxt, open from (
+                select slot, nxt, list_filter(list_transform(range(1, n + 1), lambda i: {'d': ((nxt[i] + 1) * total + cs[i] - 1) // cs[i], 'i': i, 'j': nxt[i], 'r': nxt[i] * total // cs[i]}), lambda x: x.j < bs[x.i]) as open
+                from e, t) where len(open) > 0))),
+p as (select ks[best.i] as k, cs[best.i] / total as weight, cast(best.j as bigint) as block, cast(best.r as bigint) as release, cast(best.d as bigint) as deadline, cast(slot as bigint) as slot from e, t where best is not null)
+select doc_id, source, round(cast(weight as double), 12) as weight, block, release, deadline, slot, row_number() over (order by slot, nth) - 1 as position from d join p on p.k = d.k and p.block = nth // 8
+"""
+}
 QUERIES = {"op3_mix_sources": op3_mix_sources}
