@@ -273,3 +273,56 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_rows_without_alias_key_are_dealt_evenly(spark, monkeypatch):
+    """Where the aliases are too many to send to every task, rows that need none don't meet in one."""
+    from pyspark.sql import functions as F
+
+    from veritab.operators import entity
+    from veritab.plans import sellout, stages
+
+    monkeypatch.setattr(stages, "SMALL_ROWS", -1)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        names = ["source", "entity_raw", "client_code", "client_name", "category_raw", "region_raw", "city_raw", "branch", "period_raw", "measure_raw"]
+        rows = spark.range(1000).select(F.col("id").cast("string").alias("row_id"), *[F.lit("J-12345678" if n == "entity_raw" else "").alias(n) for n in names])
+        out = entity.with_entity(entity.with_fields(rows), sellout.config(spark, "/root/testdata/sf0.001"))
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 1000 and max(sizes) < 500
+
+
+def test_lookup_sends_small_tables_only(spark, monkeypatch):
+    from veritab.plans import stages
+
+    rows = spark.createDataFrame([("a", "x" * 100), ("b", None)], "k string, v string")
+    hinted = lambda df: "hint" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert hinted(stages.lookup(rows))
+    monkeypatch.setattr(stages, "SMALL_BYTES", 100)
+    assert not hinted(stages.lookup(rows))
+    monkeypatch.setattr(stages, "SMALL_BYTES", 1000)
+    monkeypatch.setattr(stages, "SMALL_ROWS", 1)
+    assert not hinted(stages.lookup(rows))
+
+
+def test_plain_digits_and_their_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    from veritab.functions.dates import parse_period
+    from veritab.functions.numeric import guard_measure, parse_numeric
+
+    texts = [("7", 7.0), ("007", 7.0), ("1234567890123456", 1234567890123456.0), ("7\n", 7.0), ("", 0.0), ("1e999", 0.0), ("-5", -5.0), ("12 TON", 12.0)]
+    got = spark.createDataFrame(texts, "t string, want double").select("want", parse_numeric(F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    guarded = spark.createDataFrame([(float("nan"), 0.0), (float("inf"), 0.0), (None, 0.0), (100000.0, 100000.0), (-100000.5, 0.0)], "m double, want double")
+    assert [r.got for r in guarded.select(guard_measure(F.col("m")).alias("got")).collect()] == [0.0, 0.0, 0.0, 100000.0, 0.0]
+    # no cast that throws and catches an error for each row that a pattern doesn't fit
+    frame = spark.createDataFrame([("S/F",), ("OCT-25",)], "t string").select(parse_period(F.col("t")).alias("p"), parse_numeric(F.col("t")))
+    assert "try_cast" not in frame._jdf.queryExecution().analyzed().toString().lower()
+    assert [r.p for r in frame.collect()] == [None, 202510]

@@ -28,15 +28,17 @@ def parse_period(c: Column) -> Column:
     """YYYYMM as an int from '2025-10-15', '15/10/2025', '10/2025', 'OCT-25' or '2025 Octubre'; else null."""
     text = F.trim(c)
     part = lambda pattern, i: F.regexp_extract(text, pattern, i)
+    # digits or '', which is no number: a try_cast of '' would throw and catch an error for every row
+    digits = lambda c: F.nullif(c, F.lit("")).cast("int")
 
     def numeric(pattern: str, year: int, month: int) -> Column:
-        return part(pattern, year).try_cast("int") * 100 + part(pattern, month).try_cast("int")
+        return digits(part(pattern, year)) * 100 + digits(part(pattern, month))
 
     # a name before its year, of two to four digits, or after it
     worded = rf"^(?:([A-Za-z]+)[.\s/-]+(\d{{2,4}})|{YEAR}[.\s/-]+([A-Za-z]+))$"
     named = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
     month = F.try_element_at(named, F.upper(F.concat(part(worded, 1), part(worded, 4))))
-    year = F.concat(part(worded, 2), part(worded, 3)).try_cast("int")
+    year = digits(F.concat(part(worded, 2), part(worded, 3)))
     full = F.when(year < 50, 2000 + year).when(year < 100, 1900 + year).otherwise(year)
     return F.coalesce(
         numeric(rf"^{YEAR}[-/.]{MONTH}", 1, 2),

@@ -23,9 +23,12 @@ def parse_numeric(c: Column) -> Column:
     plain = F.regexp_replace(plain, r",(?=.*\.[^,]*$)", "")  # a dot is the last separator
     plain = F.regexp_replace(plain, r"\.(?=.*,[^.]*$)", "")  # a comma is
     plain = F.regexp_replace(plain, "^([^,]*),", "$1.")
-    number = F.regexp_extract(plain, r"^(\d+\.?\d*|\.\d+)([eE]\d+)?$", 0).try_cast("double")
+    # what the pattern takes is a number; a try_cast of '' would throw and catch an error
+    number = F.nullif(F.regexp_extract(plain, r"^(\d+\.?\d*|\.\d+)([eE]\d+)?$", 0), F.lit("")).cast("double")
     number = F.coalesce(F.when(number < float("inf"), number), F.lit(0.0))
-    return number * F.when(negative, -1.0).otherwise(1.0) + 0.0  # no negative zero
+    signed = number * F.when(negative, -1.0).otherwise(1.0) + 0.0  # no negative zero
+    # plain digits, the usual text, need none of these steps
+    return F.when(text.rlike(r"^\d{1,15}\z"), text.cast("double")).otherwise(signed)
 
 
 def pct1(part: Column, whole: Column) -> Column:
@@ -35,4 +38,4 @@ def pct1(part: Column, whole: Column) -> Column:
 
 def guard_measure(c: Column) -> Column:
     """0 for what no single row can measure."""
-    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) > MOST), 0.0).otherwise(c)
+    return F.when(F.abs(c) <= MOST, c).otherwise(0.0)  # NaN is above all numbers

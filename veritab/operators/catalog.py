@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alias_key, distinctive_code, normalize_id, normalize_text
-from ..plans.stages import cut
+from ..plans.stages import cut, lookup
 
 
 @dataclass
@@ -35,6 +35,7 @@ class Config:
     suggest: int = 80
     catch_all: str = "OTROS"
     prepared: Indexes | None = field(default=None, repr=False, compare=False)
+    named: tuple[DataFrame, DataFrame] | None = field(default=None, repr=False, compare=False)
 
 
 def check_thresholds(assign: float, suggest: float) -> tuple[int, int]:
@@ -153,6 +154,15 @@ def alias_indexes(aliases: DataFrame, regions: DataFrame) -> tuple[DataFrame, Da
     return exact, codes.where("_x = _y").select(F.col("code").alias("key"), *[F.col(f"_a.{f}").alias(f) for f in fields])
 
 
+def alias_lookups(config: Config) -> tuple[DataFrame, DataFrame]:
+    """The alias indexes of a configuration, computed once a run: (key, alias), a struct of the fields."""
+    if config.named is None:
+        fields = F.struct("alias_entity", "alias_name", "alias_region").alias("alias")
+        exact, by_code = alias_indexes(config.aliases, indexes(config).regions)
+        config.named = lookup(exact.select("key", fields)), lookup(by_code.select("key", fields))
+    return config.named
+
+
 def merge_learned(seed: DataFrame, learned: DataFrame, key) -> DataFrame:
     """Seed entries whose key was not learned, and all learned ones. key: a function of the frame's
     columns. Learned positions follow the seed's."""

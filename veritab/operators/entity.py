@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_period
 from ..functions.numeric import guard_measure, parse_numeric
 from ..functions.text import alias_key, normalize_id, normalize_text
-from .catalog import Config, alias_indexes, indexes
+from .catalog import Config, alias_lookups, indexes
 from .resolve import NO_SOURCE, row_flag
 
 #: The period of what people classified by hand: later than any.
 MANUAL_PERIOD = (1 << 53) - 1
+#: Parts that rows without an alias key are dealt to.
+LANES = 4096
 
 
 def with_fields(rows: DataFrame) -> DataFrame:
@@ -22,29 +24,31 @@ def with_fields(rows: DataFrame) -> DataFrame:
     source = F.trim(F.coalesce("source", F.lit("")))
     return rows.withColumns({
         "source": F.when(source == "", NO_SOURCE).otherwise(source),
-        "measure": guard_measure(parse_numeric(F.col("measure_raw"))),
+        "measure": parse_numeric(F.col("measure_raw")),
         "period": parse_period(F.col("period_raw")),
-    })
+    }).withColumn("measure", guard_measure(F.col("measure")))
 
 
 def with_entity(rows: DataFrame, config: Config, blank_source: bool = True) -> DataFrame:
     """rows with entity_id (raw, else by alias), entity_key, alias_name and alias_region.
 
-    Without blank_source, rows without a source don't use the (source, code) tier.
+    Without blank_source, rows without a source don't use the (source, code) tier. Rows that need no
+    alias have null keys; a lane deals them evenly where the joins deal rows at all.
     """
-    exact, by_code = alias_indexes(config.aliases, indexes(config).regions)
+    exact, by_code = alias_lookups(config)
     lacks = (normalize_id(F.col("entity_raw")) == "") & (F.col("client_code") != "")
     source = F.col("source") if blank_source else F.when(F.col("source") != NO_SOURCE, F.col("source"))
     rows = rows.withColumns({"_ek": F.when(lacks, alias_key(source, F.col("client_code"))), "_ck": F.when(lacks, normalize_text(F.col("client_code")))})
-    a = exact.select(F.col("key").alias("_ek"), F.struct("alias_entity", "alias_name", "alias_region").alias("_a"))
-    b = by_code.select(F.col("key").alias("_ck"), F.struct("alias_entity", "alias_name", "alias_region").alias("_b"))
-    out = rows.join(a, "_ek", "left").join(b, "_ck", "left").withColumn("_a", F.coalesce("_a", "_b"))
+    rows = rows.withColumn("_lane", F.when(lacks, F.lit(0)).otherwise(F.pmod(F.xxhash64("row_id"), F.lit(LANES)).cast("int")))
+    a = exact.select(F.col("key").alias("_ek"), F.lit(0).alias("_lane"), F.col("alias").alias("_a"))
+    b = by_code.select(F.col("key").alias("_ck"), F.lit(0).alias("_lane"), F.col("alias").alias("_b"))
+    out = rows.join(a, ["_ek", "_lane"], "left").join(b, ["_ck", "_lane"], "left").withColumn("_a", F.coalesce("_a", "_b"))
     return out.withColumns({
         "entity_id": F.coalesce("_a.alias_entity", "entity_raw"), "alias_name": F.col("_a.alias_name"), "alias_region": F.col("_a.alias_region"),
     }).withColumns({
         "entity_key": normalize_id(F.col("entity_id")),
         "name": F.coalesce(F.nullif(F.col("client_name"), F.lit("")), F.col("alias_name"), F.lit("")),
-    }).drop("_ek", "_ck", "_a", "_b")
+    }).drop("_ek", "_ck", "_lane", "_a", "_b")
 
 
 def patch_alias_region(resolved: DataFrame) -> DataFrame:
@@ -71,6 +75,11 @@ def observations(resolved: DataFrame, config: Config) -> DataFrame:
     return manual_observations(config).unionByName(found)
 
 
+def keyed(obs: DataFrame) -> DataFrame:
+    """obs with their entity_key."""
+    return obs if "entity_key" in obs.columns else obs.withColumn("entity_key", normalize_id(F.col("entity_id")))
+
+
 def first_seen(value: str, order: str = "row_id"):
     """The value of the first row that has one."""
     has = F.coalesce(F.col(value), F.lit("")) != ""
@@ -88,7 +97,7 @@ def build_master(obs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame,
     """
     told = F.trim(F.coalesce("category", F.lit(""))) != ""
     placed = F.trim(F.coalesce("region", F.lit(""))) != ""
-    obs = obs.withColumn("entity_key", normalize_id(F.col("entity_id"))).where((F.col("entity_key") != "") & (told | placed))
+    obs = keyed(obs).where((F.col("entity_key") != "") & (told | placed))
     base = obs.groupBy("entity_key").agg(F.min_by("entity_id", "row_id").alias("entity_id"), first_seen("name").alias("client_name"), F.count("*").alias("rows"))
     regions = obs.where(placed).groupBy("entity_key", "region").agg(F.count("*").alias("n"))
     usual = regions.groupBy("entity_key").agg(F.min_by("region", F.struct(-F.col("n"), "region")).alias("region"))

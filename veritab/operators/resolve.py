@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import explicit_region, geo_text, phrase_region
 from ..functions.text import clean_region, is_no_city, is_no_region, normalize_text
-from ..plans.stages import cut, keep
+from ..plans.stages import cut, lookup
 from .catalog import Config, indexes
 from .fuzzy import best_match
 
@@ -26,9 +26,9 @@ NO_SOURCE = "SIN_DISTRIBUIDOR"
 class Texts:
     """What the texts of some rows resolve to, whoever their entities are."""
 
-    rows: DataFrame  # kept, with category_key, region_text and city_key
-    categories: DataFrame  # by category_key
-    places: DataFrame  # by region_text and city_key
+    rows: DataFrame
+    categories: DataFrame  # by category_raw, with category_key
+    places: DataFrame  # by region_raw and city_raw, with region_text and city_key
 
 
 def category_by_text(keys: DataFrame, config: Config) -> DataFrame:
@@ -119,23 +119,26 @@ def region_by_text(keys: DataFrame, config: Config) -> DataFrame:
     )
 
 
-def resolve_texts(rows: DataFrame, config: Config) -> Texts:
-    """The texts of the rows, resolved once for all passes that read them: the distinct keys of both
-    kinds come out of one pass over the rows."""
-    rows = keep(rows.withColumns({
+def resolve_texts(rows: DataFrame, config: Config, told: DataFrame | None = None) -> Texts:
+    """The texts of the rows, resolved once for all passes that read them: the distinct texts of both
+    kinds come out of one pass over told, by default the rows, which reads nothing but texts."""
+    place = F.struct(F.lit(None).cast("string").alias("category_raw"), "region_raw", "city_raw")
+    category = F.struct("category_raw", F.lit(None).cast("string").alias("region_raw"), F.lit(None).cast("string").alias("city_raw"))
+    raws = (rows if told is None else told).select("category_raw", "region_raw", "city_raw").distinct()
+    raws = raws.select(F.inline(F.array(category, place))).distinct()
+    raws = cut(raws.withColumns({
         "category_key": normalize_text(F.col("category_raw")), "region_text": normalize_text(F.col("region_raw")), "city_key": normalize_text(F.col("city_raw")),
     }))
-    place = F.struct(F.lit(None).cast("string").alias("category_key"), "region_text", "city_key")
-    category = F.struct("category_key", F.lit(None).cast("string").alias("region_text"), F.lit(None).cast("string").alias("city_key"))
-    keys = cut(rows.select(F.inline(F.array(category, place))).distinct())
-    categories = category_by_text(keys.where("category_key is not null").select("category_key"), config)
-    places = region_by_text(keys.where("region_text is not null").select("region_text", "city_key"), config)
-    return Texts(rows, cut(categories), cut(places))
+    said = raws.where("category_raw is not null").select("category_raw", "category_key")
+    where = raws.where("category_raw is null").select("region_raw", "city_raw", "region_text", "city_key")
+    categories = category_by_text(said.select("category_key").distinct(), config)
+    places = region_by_text(where.select("region_text", "city_key").distinct(), config)
+    return Texts(rows, lookup(said.join(categories, "category_key", "left")), lookup(where.join(places, ["region_text", "city_key"], "left")))
 
 
-def resolve(rows: DataFrame, config: Config, master: DataFrame | None = None, known_regions: DataFrame | None = None) -> DataFrame:
+def resolve(rows: DataFrame, config: Config, master: DataFrame | None = None, known_regions: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
     """rows, which need entity_key, with the resolved fields."""
-    return with_texts(resolve_texts(rows, config), master, known_regions)
+    return with_texts(resolve_texts(rows, config, told), master, known_regions)
 
 
 def with_texts(texts: Texts, master: DataFrame | None = None, known_regions: DataFrame | None = None) -> DataFrame:
@@ -144,7 +147,7 @@ def with_texts(texts: Texts, master: DataFrame | None = None, known_regions: Dat
     master: (entity_key, category, category_group) of known entities, which go before the text;
     known_regions: (entity_key, region), which go between the strong and the weak region.
     """
-    out = texts.rows.join(texts.categories, "category_key", "left").join(texts.places, ["region_text", "city_key"], "left")
+    out = texts.rows.join(texts.categories, "category_raw", "left").join(texts.places, ["region_raw", "city_raw"], "left")
     if master is not None:
         carried = master.where("coalesce(trim(category), '') <> '' or coalesce(trim(category_group), '') <> ''")
         m = carried.select("entity_key", F.col("category").alias("_mc"), F.col("category_group").alias("_mg"), F.lit(True).alias("_known"))

@@ -11,7 +11,7 @@ from ..functions.text import normalize_text
 from ..operators import entity, quality
 from ..operators.catalog import Config
 from ..operators.resolve import Texts, resolve, resolve_texts, with_texts
-from .stages import keep
+from .stages import compilable, keep
 
 # The columns that an export appends, in their order.
 OUTPUT = [
@@ -28,6 +28,7 @@ class Run:
     branches: DataFrame
     recovered: DataFrame
     region_recovered: DataFrame
+    observed: DataFrame
 
     @property
     def metrics(self) -> DataFrame:
@@ -66,12 +67,16 @@ def counting(rows: DataFrame) -> DataFrame:
 
 
 def pipeline(rows: DataFrame, config: Config) -> Run:
-    """Resolves by text alone, builds the master from that, and recovers what the master knows."""
-    named = entity.with_entity(entity.with_fields(rows), config)
-    resolved = keep(entity.patch_alias_region(resolve(named, config)))
-    master, conflicts, branches = entity.build_master(entity.observations(resolved, config), config)
+    """Resolves by text alone, builds the master from that, and recovers what the master knows.
+
+    Resolved rows aren't kept: what reads them computes the columns that it needs. What they tell
+    about entities is, as the master reads it several times."""
+    rows = entity.with_fields(compilable(rows))
+    resolved = entity.patch_alias_region(resolve(entity.with_entity(rows, config), config, told=rows))
+    observed = keep(entity.keyed(entity.observations(resolved, config)))
+    master, conflicts, branches = entity.build_master(observed, config)
     master = keep(master)
-    return Run(resolved, master, conflicts, branches, quality.category_recovery(resolved, master), quality.region_recovery(resolved, master))
+    return Run(resolved, master, conflicts, branches, quality.category_recovery(resolved, master), quality.region_recovery(resolved, master), observed)
 
 
 def export_master(texts: Texts, config: Config) -> DataFrame:
@@ -82,7 +87,8 @@ def export_master(texts: Texts, config: Config) -> DataFrame:
 
 def export(rows: DataFrame, config: Config, originals: list[str], dictionary_version: str = "v1", run_id: str = "run-0") -> DataFrame:
     """The original columns and the OUTPUT ones, '' for nulls; categories and regions by the master first."""
-    texts = resolve_texts(entity.with_entity(entity.with_fields(rows), config, blank_source=False), config)
+    rows = entity.with_fields(compilable(rows))
+    texts = resolve_texts(entity.with_entity(rows, config, blank_source=False), config, told=rows)
     master = export_master(texts, config)
     regions = entity.overlay_regions(master, entity.seed_regions(config))
     out = with_texts(texts, master.select("entity_key", "category", "category_group"), regions)

@@ -7,10 +7,24 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: What a table that is sent to every task may have: rows, and bytes of text.
+SMALL_ROWS, SMALL_BYTES = 1 << 18, 1 << 26
 
 _local_dirs: dict[str, str] = {}
 
 
+def compilable(df: DataFrame) -> DataFrame:
+    """df, in a session whose generated methods the JVM compiles: it never compiles those of more than
+    8000 bytes, and Spark's own limit lets whole stages run interpreted. A limit set by others stays."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    conf = df.sparkSession.conf
+    if conf.get(name, "65535") == "65535":
+        conf.set(name, "8000")
+    return df
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df, kept by the executors; what a lost executor held is computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -40,3 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     catalogs, which many joins read."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """cut(df), to be sent to every task that joins it where it is measured to be small; the rows of
+    such a join stay where they are."""
+    held = cut(df)
+    texts = [F.coalesce(F.octet_length(F.to_json(c) if kind.startswith("struct") else F.col(c)), F.lit(0)) for c, kind in held.dtypes if kind == "string" or kind.startswith("struct")]
+    n, size = held.agg(F.count("*"), F.sum(sum(texts, F.lit(0)).cast("long"))).first()
+    return F.broadcast(held) if n <= SMALL_ROWS and (size or 0) <= SMALL_BYTES else held
