@@ -82,7 +82,8 @@ def pipeline(rows: DataFrame, config: Config) -> Run:
 def export_master(texts: Texts, config: Config) -> DataFrame:
     """The first pass of an export: the master, with regions known by hand or alias in the cascade."""
     first = with_texts(texts, known_regions=entity.seed_regions(config))
-    return keep(entity.build_master(entity.observations(first, config), config)[0])
+    observed = keep(entity.keyed(entity.observations(first, config)))
+    return keep(entity.build_master(observed, config)[0])
 
 
 def export(rows: DataFrame, config: Config, originals: list[str], dictionary_version: str = "v1", run_id: str = "run-0") -> DataFrame:
