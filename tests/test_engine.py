@@ -326,3 +326,18 @@ def test_plain_digits_and_their_neighbours(spark):
     frame = spark.createDataFrame([("S/F",), ("OCT-25",)], "t string").select(parse_period(F.col("t")).alias("p"), parse_numeric(F.col("t")))
     assert "try_cast" not in frame._jdf.queryExecution().analyzed().toString().lower()
     assert [r.p for r in frame.collect()] == [None, 202510]
+
+
+def test_source_is_read_once(spark, sf, config, tmp_path):
+    """What a run gives is read from the rows that it wrote, not from the source again."""
+    sellout.rows(spark, sf).limit(500).write.parquet(f"{tmp_path}/in")
+    result = run.pipeline(spark.read.parquet(f"{tmp_path}/in"), config)
+    frames = [result.resolved, result.master, result.branches, result.recovered, result.pending]
+    assert result.resolved.count() == 500
+    assert not [f for df in frames for f in df.inputFiles() if str(tmp_path) in f]
+
+
+def test_patterns_are_not_copied(spark):
+    """One removal of other signs for texts with a comma, one for those without."""
+    df = spark.createDataFrame([("1.5",)], "m string").select(numeric.parse_numeric(F.col("m")).alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("[^0-9.,eE]") == 2

@@ -27,25 +27,25 @@ YEAR, MONTH = r"(199\d|20\d\d|2100)", r"(0[1-9]|1[0-2]|[1-9](?!\d))"
 def parse_period(c: Column) -> Column:
     """YYYYMM as an int from '2025-10-15', '15/10/2025', '10/2025', 'OCT-25' or '2025 Octubre'; else null."""
     text = F.trim(c)
-    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
-    # digits or '', which is no number: a try_cast of '' would throw and catch an error for every row
-    digits = lambda c: F.nullif(c, F.lit("")).cast("int")
-
-    def numeric(pattern: str, year: int, month: int) -> Column:
-        return digits(part(pattern, year)) * 100 + digits(part(pattern, month))
-
-    # a name before its year, of two to four digits, or after it
-    worded = rf"^(?:([A-Za-z]+)[.\s/-]+(\d{{2,4}})|{YEAR}[.\s/-]+([A-Za-z]+))$"
+    # digits, or 0 for '': a cast that threw would cost each row that a pattern doesn't fit
+    digits = lambda pattern, i: F.concat(F.lit("0"), F.regexp_extract(text, pattern, i)).cast("int")
     named = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    month = F.try_element_at(named, F.upper(F.concat(part(worded, 1), part(worded, 4))))
-    year = digits(F.concat(part(worded, 2), part(worded, 3)))
-    full = F.when(year < 50, 2000 + year).when(year < 100, 1900 + year).otherwise(year)
-    return F.coalesce(
-        numeric(rf"^{YEAR}[-/.]{MONTH}", 1, 2),
-        numeric(rf"^\d{{1,2}}[-/.]{MONTH}[-/.]{YEAR}", 2, 1),
-        numeric(rf"^{MONTH}[-/]{YEAR}$", 2, 1),
-        full * 100 + month,
-    ).cast("int")
+    month = lambda pattern, i: F.try_element_at(named, F.upper(F.regexp_extract(text, pattern, i)))
+    # a name before its year, of two to four digits, or after it; years under 100 are 1950 to 2049
+    name, gap = "([A-Za-z]+)", r"[.\s/-]+"
+    short, long, after = rf"^{name}{gap}0{{0,2}}(\d{{2}})$", rf"^{name}{gap}(\d{{3,4}})$", rf"^{YEAR}{gap}{name}$"
+    first, last, alone = rf"^{YEAR}[-/.]{MONTH}", rf"^\d{{1,2}}[-/.]{MONTH}[-/.]{YEAR}", rf"^{MONTH}[-/]{YEAR}$"
+    # each pattern is tried once, and only what fits is taken apart
+    return (
+        F.when(~text.rlike(r"\d"), F.lit(None).cast("int"))
+        .when(text.rlike(first), digits(first, 1) * 100 + digits(first, 2))
+        .when(text.rlike(last), digits(last, 2) * 100 + digits(last, 1))
+        .when(text.rlike(alone), digits(alone, 2) * 100 + digits(alone, 1))
+        .when(text.rlike(short), (F.pmod(digits(short, 2) - 50, F.lit(100)) + 1950) * 100 + month(short, 1))
+        .when(text.rlike(long), digits(long, 2) * 100 + month(long, 1))
+        .when(text.rlike(after), digits(after, 1) * 100 + month(after, 2))
+        .cast("int")
+    )
 
 
 def period_of_serial(c: Column) -> Column:

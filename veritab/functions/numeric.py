@@ -16,19 +16,21 @@ def parse_numeric(c: Column) -> Column:
     between four or more digits and exactly three.
     """
     text = F.trim(F.coalesce(c, F.lit("")))
-    negative = text.rlike(r"^(?s:\(.*\)|-.*)\z")
-    plain = F.regexp_replace(text, "[^0-9.,eE]", "")
-    # one step after another, so that no part of the expression stands in it twice
-    plain = F.regexp_replace(plain, "^([^,.]{4,}),([^,.]{3})$", "$1$2")
+    negative = text.startswith("-") | (text.startswith("(") & text.endswith(")"))
+
+    def number(plain: Column) -> Column:
+        """One step after another: of a part that stood twice, the optimizer would copy all patterns."""
+        # '' becomes 0, and what is infinite has no remainder
+        found = F.concat(F.lit("0"), F.regexp_extract(plain, r"^(\d+\.?\d*|\.\d+)([eE]\d+)?$", 0)).cast("double")
+        return F.nanvl(found % F.lit(float("inf")), F.lit(0.0)) * F.when(negative, -1.0).otherwise(1.0) + 0.0  # no negative zero
+
+    kept = F.regexp_replace(text, "[^0-9.,eE]", "")
+    plain = F.regexp_replace(kept, "^([^,.]{4,}),([^,.]{3})$", "$1$2")
     plain = F.regexp_replace(plain, r",(?=.*\.[^,]*$)", "")  # a dot is the last separator
     plain = F.regexp_replace(plain, r"\.(?=.*,[^.]*$)", "")  # a comma is
     plain = F.regexp_replace(plain, "^([^,]*),", "$1.")
-    # what the pattern takes is a number; a try_cast of '' would throw and catch an error
-    number = F.nullif(F.regexp_extract(plain, r"^(\d+\.?\d*|\.\d+)([eE]\d+)?$", 0), F.lit("")).cast("double")
-    number = F.coalesce(F.when(number < float("inf"), number), F.lit(0.0))
-    signed = number * F.when(negative, -1.0).otherwise(1.0) + 0.0  # no negative zero
-    # plain digits, the usual text, need none of these steps
-    return F.when(text.rlike(r"^\d{1,15}\z"), text.cast("double")).otherwise(signed)
+    # the usual texts, nothing, plain digits or no comma, need none of these steps
+    return F.when(text == "", 0.0).when(text.rlike(r"^\d{1,15}\z"), text.cast("double")).when(~text.contains(","), number(kept)).otherwise(number(plain))
 
 
 def pct1(part: Column, whole: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_period
@@ -13,6 +13,8 @@ from .resolve import NO_SOURCE, row_flag
 
 #: The period of what people classified by hand: later than any.
 MANUAL_PERIOD = (1 << 53) - 1
+#: Columns that nothing reads once fields and entities are known.
+READ = ["entity_raw", "client_code", "client_name", "alias_name", "period_raw", "measure_raw"]
 #: Parts that rows without an alias key are dealt to.
 LANES = 4096
 
@@ -36,19 +38,18 @@ def with_entity(rows: DataFrame, config: Config, blank_source: bool = True) -> D
     alias have null keys; a lane deals them evenly where the joins deal rows at all.
     """
     exact, by_code = alias_lookups(config)
-    lacks = (normalize_id(F.col("entity_raw")) == "") & (F.col("client_code") != "")
+    rows = rows.withColumn("_own", normalize_id(F.col("entity_raw")))
+    lacks = (F.col("_own") == "") & (F.col("client_code") != "")
     source = F.col("source") if blank_source else F.when(F.col("source") != NO_SOURCE, F.col("source"))
-    rows = rows.withColumns({"_ek": F.when(lacks, alias_key(source, F.col("client_code"))), "_ck": F.when(lacks, normalize_text(F.col("client_code")))})
-    rows = rows.withColumn("_lane", F.when(lacks, F.lit(0)).otherwise(F.pmod(F.xxhash64("row_id"), F.lit(LANES)).cast("int")))
+    rows = rows.withColumns({"_ek": F.when(lacks, alias_key(source, F.col("client_code"))), "_ck": F.when(lacks, normalize_text(F.col("client_code"))), "_lane": F.when(lacks, F.lit(0)).otherwise(F.pmod(F.xxhash64("row_id"), F.lit(LANES)).cast("int"))})
     a = exact.select(F.col("key").alias("_ek"), F.lit(0).alias("_lane"), F.col("alias").alias("_a"))
     b = by_code.select(F.col("key").alias("_ck"), F.lit(0).alias("_lane"), F.col("alias").alias("_b"))
     out = rows.join(a, ["_ek", "_lane"], "left").join(b, ["_ck", "_lane"], "left").withColumn("_a", F.coalesce("_a", "_b"))
     return out.withColumns({
         "entity_id": F.coalesce("_a.alias_entity", "entity_raw"), "alias_name": F.col("_a.alias_name"), "alias_region": F.col("_a.alias_region"),
-    }).withColumns({
-        "entity_key": normalize_id(F.col("entity_id")),
-        "name": F.coalesce(F.nullif(F.col("client_name"), F.lit("")), F.col("alias_name"), F.lit("")),
-    }).drop("_ek", "_ck", "_lane", "_a", "_b")
+        "entity_key": F.coalesce("_a.alias_entity", "_own"),  # an alias's entity is in normal form
+        "name": F.coalesce(F.nullif(F.col("client_name"), F.lit("")), F.col("_a.alias_name"), F.lit("")),
+    }).drop("_own", "_ek", "_ck", "_lane", "_a", "_b")
 
 
 def patch_alias_region(resolved: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def patch_alias_region(resolved: DataFrame) -> DataFrame:
 
 def manual_observations(config: Config) -> DataFrame:
     return config.manual.select(
-        F.lit("").alias("row_id"), "entity_id", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("category_group", F.lit("")).alias("category_group"),
+        F.lit("").alias("row_id"), normalize_id(F.col("entity_id")).alias("entity_key"), "entity_id", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("category_group", F.lit("")).alias("category_group"),
         F.lit("MANUAL").alias("method"), F.lit(MANUAL_PERIOD).cast("long").alias("period"), F.col("client_name").alias("name"), F.col("region"), F.lit("").alias("branch"), F.lit("").alias("city"),
     )
 
@@ -69,25 +70,46 @@ def observations(resolved: DataFrame, config: Config) -> DataFrame:
     """What the rows tell about their entities, and what people told."""
     seen = F.col("category_method").isin("EXACTO", "FUZZY")
     found = resolved.where(seen | F.col("region").isNotNull()).select(
-        "row_id", "entity_id", F.when(seen, F.col("category")).otherwise("").alias("category"), F.when(seen, F.col("category_group")).otherwise("").alias("category_group"),
+        "row_id", "entity_key", "entity_id", F.when(seen, F.col("category")).otherwise("").alias("category"), F.when(seen, F.col("category_group")).otherwise("").alias("category_group"),
         F.when(seen, F.col("category_method")).alias("method"), F.when(seen, F.col("period")).cast("long").alias("period"), "name", "region", "branch", F.col("city_raw").alias("city"),
     )
     return manual_observations(config).unionByName(found)
 
 
-def keyed(obs: DataFrame) -> DataFrame:
-    """obs with their entity_key."""
-    return obs if "entity_key" in obs.columns else obs.withColumn("entity_key", normalize_id(F.col("entity_id")))
-
-
 def first_seen(value: str, order: str = "row_id"):
     """The value of the first row that has one."""
     has = F.coalesce(F.col(value), F.lit("")) != ""
     return F.min_by(value, F.when(has, F.col(order)))
 
 
-def build_master(obs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(master, conflicts, branches).
+def _told() -> Column:
+    return F.trim(F.coalesce("category", F.lit(""))) != ""
+
+
+def _placed() -> Column:
+    return F.trim(F.coalesce("region", F.lit(""))) != ""
+
+
+def gather(obs: DataFrame) -> DataFrame:
+    """What obs tell about each entity by category and region: rows, latest period, whether by hand,
+    and the first id, name and group, each with its row's id. The master is made of this table, so
+    that one pass reads the rows."""
+    named = F.coalesce(F.col("name"), F.lit("")) != ""
+    first = lambda value: F.struct("row_id", F.col(value).alias("value"))
+    return obs.where((F.col("entity_key") != "") & (_told() | _placed())).groupBy("entity_key", "category", "region").agg(
+        F.min(first("entity_id")).alias("first_id"), F.min(F.when(named, first("name"))).alias("first_name"), F.min(first("category_group")).alias("first_group"), F.count("*").alias("rows"),
+        F.max("period").alias("latest"), F.bool_or(F.coalesce(F.col("method") == "MANUAL", F.lit(False))).alias("manual"),
+    )
+
+
+def branches(obs: DataFrame) -> DataFrame:
+    """(entity_key, branch, region, city, branch_rows) of the entities' rows that have a region."""
+    placed = obs.where((F.col("entity_key") != "") & _placed())
+    return placed.groupBy("entity_key", "branch", "region", "city").agg(F.count("*").alias("branch_rows"))
+
+
+def build_master(seen: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(master, conflicts) of what was seen, as gather gives it.
 
     master: entity_key, entity_id, client_name, category, category_group, region, rule. The category
     is that of the manual ones if any, then the latest, then the most frequent, then the first in
@@ -95,17 +117,13 @@ def build_master(obs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame,
     are conflicts: entity_key, entity_id, client_name, groups, categories, rows. Entities with a
     region alone are in the master with null categories.
     """
-    told = F.trim(F.coalesce("category", F.lit(""))) != ""
-    placed = F.trim(F.coalesce("region", F.lit(""))) != ""
-    obs = keyed(obs).where((F.col("entity_key") != "") & (told | placed))
-    base = obs.groupBy("entity_key").agg(F.min_by("entity_id", "row_id").alias("entity_id"), first_seen("name").alias("client_name"), F.count("*").alias("rows"))
-    regions = obs.where(placed).groupBy("entity_key", "region").agg(F.count("*").alias("n"))
+    base = seen.groupBy("entity_key").agg(F.min("first_id").alias("_i"), F.min("first_name").alias("_n"), F.sum("rows").alias("rows"))
+    base = base.select("entity_key", F.col("_i.value").alias("entity_id"), F.col("_n.value").alias("client_name"), "rows")
+    regions = seen.where(_placed()).groupBy("entity_key", "region").agg(F.sum("rows").alias("n"))
     usual = regions.groupBy("entity_key").agg(F.min_by("region", F.struct(-F.col("n"), "region")).alias("region"))
-    branches = obs.where(placed).groupBy("entity_key", "branch", "region", "city").agg(F.count("*").alias("branch_rows"))
 
-    cats = obs.where(told).groupBy("entity_key", "category").agg(
-        F.min_by("category_group", "row_id").alias("category_group"), F.count("*").alias("n"), F.max("period").alias("latest"), F.bool_or(F.coalesce(F.col("method") == "MANUAL", F.lit(False))).alias("manual")
-    )
+    cats = seen.where(_told()).groupBy("entity_key", "category").agg(F.min("first_group").alias("_g"), F.sum("rows").alias("n"), F.max("latest").alias("latest"), F.bool_or("manual").alias("manual"))
+    cats = cats.select("entity_key", "category", F.col("_g.value").alias("category_group"), "n", "latest", "manual")
     mine = Window.partitionBy("entity_key")
     specific = F.col("manual") | (normalize_text(F.col("category")) != config.catch_all)
     cats = cats.withColumn("_s", specific).withColumn("_any", F.max("_s").over(mine)).where("_s or not _any")
@@ -122,7 +140,7 @@ def build_master(obs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame,
     )
     master = base.join(usual, "entity_key", "left").join(winner, "entity_key", "left").join(conflicts.select("entity_key"), "entity_key", "left_anti")
     master = master.where("category is not null or region is not null")
-    return master.select("entity_key", "entity_id", "client_name", "category", "category_group", "region", "rule"), conflicts, branches
+    return master.select("entity_key", "entity_id", "client_name", "category", "category_group", "region", "rule"), conflicts
 
 
 def branch_lists(branches: DataFrame) -> DataFrame:

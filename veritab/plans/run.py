@@ -11,7 +11,7 @@ from ..functions.text import normalize_text
 from ..operators import entity, quality
 from ..operators.catalog import Config
 from ..operators.resolve import Texts, resolve, resolve_texts, with_texts
-from .stages import compilable, keep
+from .stages import compilable, keep, stage
 
 # The columns that an export appends, in their order.
 OUTPUT = [
@@ -28,7 +28,7 @@ class Run:
     branches: DataFrame
     recovered: DataFrame
     region_recovered: DataFrame
-    observed: DataFrame
+    seen: DataFrame
 
     @property
     def metrics(self) -> DataFrame:
@@ -69,21 +69,22 @@ def counting(rows: DataFrame) -> DataFrame:
 def pipeline(rows: DataFrame, config: Config) -> Run:
     """Resolves by text alone, builds the master from that, and recovers what the master knows.
 
-    Resolved rows aren't kept: what reads them computes the columns that it needs. What they tell
-    about entities is, as the master reads it several times."""
-    rows = entity.with_fields(compilable(rows))
-    resolved = entity.patch_alias_region(resolve(entity.with_entity(rows, config), config, told=rows))
-    observed = keep(entity.keyed(entity.observations(resolved, config)))
-    master, conflicts, branches = entity.build_master(observed, config)
+    The source is read once, for the rows with their fields and entities, which are written by
+    columns. What texts resolve to is joined to them by each reader, for the columns that it needs."""
+    rows = stage(entity.with_entity(entity.with_fields(compilable(rows)), config).drop(*entity.READ), "rows")
+    resolved = entity.patch_alias_region(resolve(rows, config))
+    observed = entity.observations(resolved, config)
+    seen = keep(entity.gather(observed))
+    master, conflicts = entity.build_master(seen, config)
     master = keep(master)
-    return Run(resolved, master, conflicts, branches, quality.category_recovery(resolved, master), quality.region_recovery(resolved, master), observed)
+    return Run(resolved, master, conflicts, entity.branches(observed), quality.category_recovery(resolved, master), quality.region_recovery(resolved, master), seen)
 
 
 def export_master(texts: Texts, config: Config) -> DataFrame:
     """The first pass of an export: the master, with regions known by hand or alias in the cascade."""
     first = with_texts(texts, known_regions=entity.seed_regions(config))
-    observed = keep(entity.keyed(entity.observations(first, config)))
-    return keep(entity.build_master(observed, config)[0])
+    seen = keep(entity.gather(entity.observations(first, config)))
+    return keep(entity.build_master(seen, config)[0])
 
 
 def export(rows: DataFrame, config: Config, originals: list[str], dictionary_version: str = "v1", run_id: str = "run-0") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.catalog import Config
+from .stages import small
 
 TABLES = ["nation", "customer", "supplier", "orders", "lineitem"]
 _KEY = "cast(c_custkey as string)"
@@ -107,5 +108,5 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config(spark: SparkSession, sf_dir: str) -> Config:
-    frames = {name: spark.createDataFrame(DATA[name], ddl) for name, ddl in DDL.items()}
+    frames = {name: small(spark, DATA[name], ddl) for name, ddl in DDL.items()}
     return Config(**frames, aliases=_sql(spark, sf_dir, ALIASES), manual=_sql(spark, sf_dir, MANUAL), explicit={r: r for r, _ in REGIONS})

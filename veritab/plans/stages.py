@@ -56,6 +56,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df, computed now and written by columns to the session's checkpoint folder: for tables of as
+    many rows as the input, of which each reader takes few columns."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table of the driver's own rows; Spark starts no Python workers for it."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(ddl)
+    fields = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), schema)
+
+
 def lookup(df: DataFrame) -> DataFrame:
     """cut(df), to be sent to every task that joins it where it is measured to be small; the rows of
     such a join stay where they are."""
