@@ -355,3 +355,19 @@ def test_patterns_are_not_copied(spark):
     """One removal of other signs for texts with a comma, one for those without."""
     df = spark.createDataFrame([("1.5",)], "m string").select(numeric.parse_numeric(F.col("m")).alias("x"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("[^0-9.,eE]") == 2
+
+
+def test_segment_cascade_writes_no_rows(spark, sf, monkeypatch):
+    """It reads the source by columns: no rows are written, and no place or measure is read."""
+    from veritab.plans import queries
+
+    def written(*_):
+        raise AssertionError("rows are written")
+
+    monkeypatch.setattr(run, "stage", written)
+    queries.forget()
+    try:
+        plan = queries.segment_cascade(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        queries.forget()
+    assert "category_raw" in plan and not [c for c in ("region_raw", "city_raw", "measure_raw") if c in plan]

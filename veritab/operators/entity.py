@@ -56,7 +56,7 @@ def patch_alias_region(resolved: DataFrame) -> DataFrame:
     """Where the text gives no region, the alias's; the method is that of a known entity."""
     patch = F.col("region").isNull() & F.col("alias_region").isNotNull()
     out = resolved.withColumns({"region_method": F.when(patch, "RIF").otherwise(F.col("region_method")), "region": F.coalesce("region", "alias_region")})
-    return out.withColumn("row_flag", row_flag())
+    return out.withColumn("row_flag", row_flag()) if "category_method" in out.columns else out
 
 
 def manual_observations(config: Config) -> DataFrame:
@@ -102,6 +102,12 @@ def gather(obs: DataFrame) -> DataFrame:
     )
 
 
+def placements(resolved: DataFrame, config: Config) -> DataFrame:
+    """Of the observations, what branches reads; categories needn't be known for it."""
+    found = resolved.where("region is not null").select("entity_key", "branch", "region", F.col("city_raw").alias("city"))
+    return manual_observations(config).select(*found.columns).unionByName(found)
+
+
 def branches(obs: DataFrame) -> DataFrame:
     """(entity_key, branch, region, city, branch_rows) of the entities' rows that have a region."""
     placed = obs.where((F.col("entity_key") != "") & _placed())

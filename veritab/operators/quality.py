@@ -47,7 +47,7 @@ def metrics_rollup(resolved: DataFrame) -> DataFrame:
 
 
 def unresolved_by_entity(resolved: DataFrame) -> DataFrame:
-    open_ = resolved.where("row_flag = 'SIN_CLASIFICAR' and entity_key <> ''")
+    open_ = resolved.where("category_method is null and entity_key <> ''")
     return open_.groupBy("entity_key").agg(F.count("*").alias("rows"), F.sum("measure").alias("measure"), F.min_by("entity_id", "row_id").alias("entity_id"), first_seen("name").alias("client_name"), F.min_by("source", "row_id").alias("source"))
 
 

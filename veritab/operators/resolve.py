@@ -136,6 +136,26 @@ def resolve_texts(rows: DataFrame, config: Config, told: DataFrame | None = None
     return Texts(rows, lookup(said.join(categories, "category_key", "left")), lookup(where.join(places, ["region_text", "city_key"], "left")))
 
 
+def category_texts(told: DataFrame, config: Config) -> DataFrame:
+    """The categories of Texts alone."""
+    said = cut(told.select("category_raw").distinct().withColumn("category_key", normalize_text(F.col("category_raw"))))
+    found = category_by_text(said.select("category_key").distinct(), config)
+    return lookup(said.join(found, "category_key", "left"))
+
+
+def place_texts(told: DataFrame, config: Config) -> DataFrame:
+    """The places of Texts alone."""
+    where = told.select("region_raw", "city_raw").distinct()
+    where = cut(where.withColumns({"region_text": normalize_text(F.col("region_raw")), "city_key": normalize_text(F.col("city_raw"))}))
+    found = region_by_text(where.select("region_text", "city_key").distinct(), config)
+    return lookup(where.join(found, ["region_text", "city_key"], "left"))
+
+
+def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows with the resolved fields of places alone."""
+    return _placed(rows.join(places, ["region_raw", "city_raw"], "left"))
+
+
 def resolve(rows: DataFrame, config: Config, master: DataFrame | None = None, known_regions: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
     """rows, which need entity_key, with the resolved fields."""
     return with_texts(resolve_texts(rows, config, told), master, known_regions)
@@ -166,7 +186,12 @@ def with_texts(texts: Texts, master: DataFrame | None = None, known_regions: Dat
         out = out.withColumn("category_confidence", F.when(F.col("category_method").isNotNull(), "N3"))
     if known_regions is not None:
         out = out.join(known_regions.select("entity_key", F.col("region").alias("_known")), "entity_key", "left")
-    else:
+    return _placed(out).withColumn("row_flag", row_flag())
+
+
+def _placed(out: DataFrame) -> DataFrame:
+    """The regions of rows joined with what their places resolve to and, as _known, with known regions."""
+    if "_known" not in out.columns:
         out = out.withColumn("_known", F.lit(None).cast("string"))
     out = out.withColumns({
         "region": F.coalesce("strong_region", "_known", "weak_region"),
@@ -174,7 +199,7 @@ def with_texts(texts: Texts, master: DataFrame | None = None, known_regions: Dat
         "suggested_region": F.when(F.col("_known").isNull(), F.col("suggested_region")),
         "suggested_region_score": F.when(F.col("_known").isNull(), F.col("suggested_region_score")),
     })
-    return out.withColumn("row_flag", row_flag()).drop("_known", "strong_region", "strong_method", "weak_region", "weak_method")
+    return out.drop("_known", "strong_region", "strong_method", "weak_region", "weak_method")
 
 
 def row_flag():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_text
 from ..operators import entity, quality
 from ..operators.catalog import Config
-from ..operators.resolve import Texts, resolve, resolve_texts, with_texts
+from ..operators.resolve import Texts, category_texts, place_texts, resolve, resolve_texts, with_places, with_texts
 from .stages import compilable, keep, stage
 
 # The columns that an export appends, in their order.
@@ -58,6 +59,58 @@ class Run:
     def checks(self) -> DataFrame:
         return quality.audit_checks(self.summary, self.pending)
 
+    @property
+    def categorized(self) -> DataFrame:
+        return self.resolved
+
+    @property
+    def coded(self) -> DataFrame:
+        return self.resolved
+
+    @property
+    def placed(self) -> DataFrame:
+        return self.resolved
+
+
+class Direct:
+    """The parts of a run that need no master, from the source: for single results of one pass over
+    the rows. Readers take those columns of the source that they need, and no rows are written; those
+    of one field alone resolve no texts of the other."""
+
+    def __init__(self, rows: DataFrame, config: Config):
+        self.rows, self.config = entity.with_fields(compilable(rows)), config
+
+    @cached_property
+    def named(self) -> DataFrame:
+        return entity.with_entity(self.rows, self.config)
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        return category_texts(self.rows, self.config)
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return place_texts(self.rows, self.config)
+
+    @property
+    def coded(self) -> DataFrame:
+        """The rows with their categories, without entities."""
+        return self.rows.join(self.categories, "category_raw", "left")
+
+    @property
+    def categorized(self) -> DataFrame:
+        """The rows with entities and categories, without regions."""
+        return self.named.join(self.categories, "category_raw", "left")
+
+    @property
+    def placed(self) -> DataFrame:
+        """The rows with entities and regions, without categories."""
+        return entity.patch_alias_region(with_places(self.named, self.places))
+
+    @cached_property
+    def branches(self) -> DataFrame:
+        return entity.branches(entity.placements(self.placed, self.config))
+
 
 def counting(rows: DataFrame) -> DataFrame:
     """One row: rows, sources and clients."""
