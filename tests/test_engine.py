@@ -357,8 +357,11 @@ def test_patterns_are_not_copied(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("[^0-9.,eE]") == 2
 
 
-def test_segment_cascade_writes_no_rows(spark, sf, monkeypatch):
-    """It reads the source by columns: no rows are written, and no place or measure is read."""
+@pytest.mark.parametrize("name, reads, others", [
+    ("segment_cascade", "category_raw", ["region_raw", "city_raw", "measure_raw"]), ("region_cascade", "region_raw", ["category_raw", "measure_raw", "period_raw"]),
+])
+def test_one_field_writes_no_rows(spark, sf, monkeypatch, name, reads, others):
+    """It reads the source by columns: no rows are written, and nothing of other fields is read."""
     from veritab.plans import queries
 
     def written(*_):
@@ -367,7 +370,7 @@ def test_segment_cascade_writes_no_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(run, "stage", written)
     queries.forget()
     try:
-        plan = queries.segment_cascade(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     finally:
         queries.forget()
-    assert "category_raw" in plan and not [c for c in ("region_raw", "city_raw", "measure_raw") if c in plan]
+    assert reads in plan and not [c for c in others if c in plan]

@@ -102,12 +102,6 @@ def gather(obs: DataFrame) -> DataFrame:
     )
 
 
-def placements(resolved: DataFrame, config: Config) -> DataFrame:
-    """Of the observations, what branches reads; categories needn't be known for it."""
-    found = resolved.where("region is not null").select("entity_key", "branch", "region", F.col("city_raw").alias("city"))
-    return manual_observations(config).select(*found.columns).unionByName(found)
-
-
 def branches(obs: DataFrame) -> DataFrame:
     """(entity_key, branch, region, city, branch_rows) of the entities' rows that have a region."""
     placed = obs.where((F.col("entity_key") != "") & _placed())

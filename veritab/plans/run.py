@@ -59,10 +59,6 @@ class Run:
     def checks(self) -> DataFrame:
         return quality.audit_checks(self.summary, self.pending)
 
-    @property
-    def categorized(self) -> DataFrame:
-        return self.resolved
-
     @property
     def coded(self) -> DataFrame:
         return self.resolved
@@ -97,20 +93,11 @@ class Direct:
         """The rows with their categories, without entities."""
         return self.rows.join(self.categories, "category_raw", "left")
 
-    @property
-    def categorized(self) -> DataFrame:
-        """The rows with entities and categories, without regions."""
-        return self.named.join(self.categories, "category_raw", "left")
-
     @property
     def placed(self) -> DataFrame:
         """The rows with entities and regions, without categories."""
         return entity.patch_alias_region(with_places(self.named, self.places))
 
-    @cached_property
-    def branches(self) -> DataFrame:
-        return entity.branches(entity.placements(self.placed, self.config))
-
 
 def counting(rows: DataFrame) -> DataFrame:
     """One row: rows, sources and clients."""
