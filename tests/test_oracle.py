@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from veritab.plans import oracle, queries, stored
+from veritab.plans import oracle, queries, run, stored
 
 ORACLE, QUERIES = oracle.ORACLE | stored.ORACLE, queries.QUERIES | stored.QUERIES
 
@@ -45,3 +45,21 @@ def test_query(spark, duck, sf, name):
     have = rows_of(got.columns, got.collect())
     assert len(have) == len(want)
     assert have == want, [(a, b) for a, b in zip(have, want) if a != b][:3]
+
+
+@pytest.mark.parametrize("name", [
+    "presentation",
+])
+def test_from_the_source(spark, duck, sf, monkeypatch, name):
+    """What one pass over the rows can tell needs no written rows, and what sources alone tell no entities."""
+    def never(*_, **__):
+        raise AssertionError("rows are written, or entities made")
+
+    monkeypatch.setattr(run, "stage", never)
+    if "source" in name or name == "presentation":
+        monkeypatch.setattr(run.entity, "with_entity", never)
+    queries.forget()
+    try:
+        test_query(spark, duck, sf, name)
+    finally:
+        queries.forget()

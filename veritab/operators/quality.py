@@ -64,6 +64,13 @@ def region_recovery(resolved: DataFrame, master: DataFrame) -> DataFrame:
     return open_.join(master.where("region is not null").select("entity_key"), "entity_key", "left_semi").groupBy("entity_key").agg(F.count("*").alias("rows"))
 
 
+def raw_quality(coded: DataFrame) -> DataFrame:
+    """(source, raw_quality_pct, rows) of each source before recovery, as source_quality gives them;
+    coded needs categories alone."""
+    counted = coded.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("category_method") == "EXACTO").alias("raw_exact"))
+    return counted.select("source", pct1(F.col("raw_exact"), F.col("rows")).alias("raw_quality_pct"), "rows")
+
+
 def source_quality(metrics: DataFrame, recovered: DataFrame) -> DataFrame:
     """Sources by measure: position, raw_quality_pct before and post_quality_pct after recovery."""
     back = recovered.groupBy("source").agg(F.sum("rows").alias("back"))
