@@ -64,6 +64,15 @@ def region_recovery(resolved: DataFrame, master: DataFrame) -> DataFrame:
     return open_.join(master.where("region is not null").select("entity_key"), "entity_key", "left_semi").groupBy("entity_key").agg(F.count("*").alias("rows"))
 
 
+def _place() -> Column:
+    return F.concat(F.lit("d"), F.row_number().over(Window.orderBy(F.desc("measure"), "source")) - 1).alias("id")
+
+
+def source_ids(rows: DataFrame) -> DataFrame:
+    """(id, source): the sources' ids by measure, as source_quality gives them."""
+    return rows.groupBy("source").agg(F.sum("measure").alias("measure")).select(_place(), "source")
+
+
 def raw_quality(coded: DataFrame) -> DataFrame:
     """(source, raw_quality_pct, rows) of each source before recovery, as source_quality gives them;
     coded needs categories alone."""
@@ -76,7 +85,7 @@ def source_quality(metrics: DataFrame, recovered: DataFrame) -> DataFrame:
     back = recovered.groupBy("source").agg(F.sum("rows").alias("back"))
     out = metrics.join(back, "source", "left").withColumn("post", F.least(F.col("resolved") + F.coalesce("back", F.lit(0)), F.col("rows")))
     return out.select(
-        F.concat(F.lit("d"), F.row_number().over(Window.orderBy(F.desc("measure"), "source")) - 1).alias("id"), "source", pct1(F.col("raw_exact"), F.col("rows")).alias("raw_quality_pct"),
+        _place(), "source", pct1(F.col("raw_exact"), F.col("rows")).alias("raw_quality_pct"),
         pct1(F.col("post"), F.col("rows")).alias("post_quality_pct"), pct1(F.col("region_raw_exact"), F.col("rows")).alias("region_raw_pct"), "rows", "measure",
     )
 

@@ -59,6 +59,10 @@ class Run:
     def checks(self) -> DataFrame:
         return quality.audit_checks(self.summary, self.pending)
 
+    @property
+    def rows(self) -> DataFrame:
+        return self.resolved
+
     @property
     def coded(self) -> DataFrame:
         return self.resolved
