@@ -102,6 +102,10 @@ class Direct:
         """The rows with entities and regions, without categories."""
         return entity.patch_alias_region(with_places(self.named, self.places))
 
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return entity.patch_alias_region(with_texts(resolve_texts(self.named, self.config, told=self.rows)))
+
 
 def counting(rows: DataFrame) -> DataFrame:
     """One row: rows, sources and clients."""
