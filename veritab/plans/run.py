@@ -71,11 +71,16 @@ class Run:
     def placed(self) -> DataFrame:
         return self.resolved
 
+    def release(self) -> None:
+        """What the executors hold is let go."""
+        self.seen.unpersist()
+        self.master.unpersist()
+
 
 class Direct:
-    """The parts of a run that need no master, from the source: for single results of one pass over
-    the rows. Readers take those columns of the source that they need, and no rows are written; those
-    of one field alone resolve no texts of the other."""
+    """The parts of a run from the source: for single results of one pass over the rows, the master
+    among them. Readers take those columns of the source that they need, and no rows are written;
+    those of one field alone resolve no texts of the other."""
 
     def __init__(self, rows: DataFrame, config: Config):
         self.rows, self.config = entity.with_fields(compilable(rows)), config
@@ -106,6 +111,33 @@ class Direct:
     def resolved(self) -> DataFrame:
         return entity.patch_alias_region(with_texts(resolve_texts(self.named, self.config, told=self.rows)))
 
+    @cached_property
+    def observed(self) -> DataFrame:
+        return entity.observations(self.resolved, self.config)
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        return keep(entity.gather(self.observed))
+
+    @cached_property
+    def _golden(self) -> tuple[DataFrame, DataFrame]:
+        master, conflicts = entity.build_master(self.seen, self.config)
+        return keep(master), conflicts
+
+    @property
+    def master(self) -> DataFrame:
+        return self._golden[0]
+
+    @property
+    def conflicts(self) -> DataFrame:
+        return self._golden[1]
+
+    def release(self) -> None:
+        """What the executors hold is let go."""
+        for held in (self.__dict__.get("seen"), self.__dict__.get("_golden", [None])[0]):
+            if held is not None:
+                held.unpersist()
+
 
 def counting(rows: DataFrame) -> DataFrame:
     """One row: rows, sources and clients."""
