@@ -55,6 +55,7 @@ def test_query(spark, duck, sf, name):
     "master_segment_winner",
     "method_tally",
     "unresolved_by_entity",
+    "branch_lists",
 ])
 def test_from_the_source(spark, duck, sf, monkeypatch, name):
     """What one pass over the rows can tell needs no written rows, and what sources alone tell no entities."""

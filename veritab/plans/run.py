@@ -132,6 +132,10 @@ class Direct:
     def conflicts(self) -> DataFrame:
         return self._golden[1]
 
+    @property
+    def branches(self) -> DataFrame:
+        return entity.branches(self.observed)
+
     def release(self) -> None:
         """What the executors hold is let go."""
         for held in (self.__dict__.get("seen"), self.__dict__.get("_golden", [None])[0]):
